@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, encode, fold, leak, near_pairs, overlap
+from . import allocate, components, defects, diverse, encode, fold, leak, near_pairs, overlap
 from .common import table
 
 
@@ -13,6 +13,46 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs.near_pairs(table(spark, sf_dir, "questions"), "id", "question", 0.7).select("id_a", "id_b")
 
 
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = [table(spark, sf_dir, name) for name in ("questions", "anchor_questions")]
+    return defects.classify(table(spark, sf_dir, "responses"), *asked)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir).where("defect IS NOT NULL").select("rec_id", "defect")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = defects.truncated(components.cut(_classified(spark, sf_dir)))
+    return found.where("posterior > 0.5").select("rec_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classified = components.cut(_classified(spark, sf_dir))
+    return defects.truncation_report(classified, defects.truncated(classified).where("posterior > 0.5"))
+
+
+def _allocated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    goal, members, total = allocate.cells(table(spark, sf_dir, "questions"), table(spark, sf_dir, "sample_targets"))
+    return members, allocate.allocation(goal, members, total)
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, allocated = _allocated(spark, sf_dir)
+    names = allocated.select("plan_id", "cell", "dataset", "subject")
+    drawn = allocate.sample(members, allocated)
+    return drawn.join(names, ["plan_id", "cell"]).select("plan_id", "dataset", "subject", "id", "rank")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allocate.report(_allocated(spark, sf_dir)[1])
+
+
+def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = table(spark, sf_dir, "sample_plans").where("purpose = 'varied'")
+    return diverse.choose(table(spark, sf_dir, "questions"), "id", "question", plans).select("plan_id", "id", "rank")
+
+
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     passage = components.passage_of(F.col("context"), F.col("question"))
     manual = components.manual_of(F.col("dataset"), F.col("subject"))
@@ -78,5 +118,5 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p5_found, p5_splits, p5_report, p6_found, p6_report, p8_ids, p9_found, p9_items, p10_found, p10_forms]
+    own = [p1_found, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_forms]
     return {f.__name__: f for f in own}
