@@ -106,7 +106,7 @@ def allocation(goal: DataFrame, members: DataFrame, total: DataFrame) -> DataFra
         least, shares = pdf.min_rows.to_numpy(int), pdf.target_share.fillna(0).to_numpy(float)
         out = pdf[["plan_id", "cell", "dataset", "subject", "target_share", "min_rows", "available"]].copy()
         out["size"] = size
-        out["wanted"] = np.maximum(np.floor(shares * size + 0.5).astype(int), least)
+        out["wanted"] = np.maximum(apportion(size, shares), least)
         out["drawn"] = quotas(size, shares, least, room, pdf.d.fillna("").to_numpy())
         return out
 
