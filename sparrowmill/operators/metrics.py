@@ -15,6 +15,11 @@ def _rate(flag: str) -> Column:
     return F.avg(F.col(flag).cast("int"))
 
 
+def _round(value: Column | str, digits: int) -> Column:
+    """Half to even; first to nine digits, so that the order of a sum does not decide a tie."""
+    return F.bround(F.bround(value, 9), digits)
+
+
 def _keyed(records: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Rows of which no key is null."""
     return records.dropna(subset=keys)
@@ -24,10 +29,10 @@ def run_metrics(records: DataFrame) -> DataFrame:
     """Per model, dataset and split: rows, accuracy, invalid and strict share, mean latency."""
     return _keyed(records).groupBy(*KEYS).agg(
         F.count("id").alias("n"),
-        F.bround(_rate("correct"), 3).alias("accuracy"),
-        F.bround(1 - _rate("valid"), 3).alias("invalid"),
-        F.bround(_rate("strict_format"), 3).alias("strict"),
-        F.bround(F.avg("wall_time_s"), 3).alias("mean_latency_s"),
+        _round(_rate("correct"), 3).alias("accuracy"),
+        _round(1 - _rate("valid"), 3).alias("invalid"),
+        _round(_rate("strict_format"), 3).alias("strict"),
+        _round(F.avg("wall_time_s"), 3).alias("mean_latency_s"),
     )
 
 
@@ -39,15 +44,15 @@ def run_metrics_full(records: DataFrame) -> DataFrame:
     seconds = F.coalesce("gen_duration_s", "wall_time_s") if "gen_duration_s" in records.columns else F.col("wall_time_s")
     return _keyed(records).groupBy(*KEYS).agg(
         F.count("id").alias("n"),
-        F.bround(_rate("correct"), 3).alias("accuracy"),
-        F.bround(1 - _rate("valid"), 3).alias("invalid"),
-        F.bround(_rate("strict_format"), 3).alias("strict"),
-        F.bround(F.avg("wall_time_s"), 3).alias("mean_latency_s"),
-        F.bround(F.percentile("wall_time_s", F.lit(0.5)), 3).alias("p50_latency_s"),
-        F.bround(F.percentile("wall_time_s", F.lit(0.95)), 3).alias("p95_latency_s"),
-        F.bround(F.avg("gen_tokens"), 3).alias("mean_gen_tokens"),
-        F.bround(F.avg(F.col("gen_tokens") / F.nullif(seconds, F.lit(0.0))), 3).alias("tokens_per_s"),
-        F.bround(F.avg(word_count(F.col("raw_response"))), 3).alias("reasoning_words"),
+        _round(_rate("correct"), 3).alias("accuracy"),
+        _round(1 - _rate("valid"), 3).alias("invalid"),
+        _round(_rate("strict_format"), 3).alias("strict"),
+        _round(F.avg("wall_time_s"), 3).alias("mean_latency_s"),
+        _round(F.percentile("wall_time_s", F.lit(0.5)), 3).alias("p50_latency_s"),
+        _round(F.percentile("wall_time_s", F.lit(0.95)), 3).alias("p95_latency_s"),
+        _round(F.avg("gen_tokens"), 3).alias("mean_gen_tokens"),
+        _round(F.avg(F.col("gen_tokens") / F.nullif(seconds, F.lit(0.0))), 3).alias("tokens_per_s"),
+        _round(F.avg(word_count(F.col("raw_response"))), 3).alias("reasoning_words"),
     )
 
 
@@ -69,21 +74,21 @@ def accuracy_by_length(records: DataFrame, bins: int = 4) -> DataFrame:
     rows = _keyed(records, ["model", "dataset"]).withColumn("words", word_count(F.col("raw_response")))
     return quantile_bins(rows.select("model", "dataset", "words", "correct"), "words", bins).where("bin IS NOT NULL").groupBy(
         "model", "dataset", "bin"
-    ).agg(F.count(F.lit(1)).alias("n"), F.bround(_rate("correct"), 3).alias("accuracy"))
+    ).agg(F.count(F.lit(1)).alias("n"), _round(_rate("correct"), 3).alias("accuracy"))
 
 
 def prediction_shares(records: DataFrame) -> DataFrame:
     """Per model the share of each predicted letter among valid rows."""
     total = F.sum("n").over(W.partitionBy("model"))
     valid = _keyed(records.where("valid"), ["model", "pred"])
-    return valid.groupBy("model", "pred").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.bround(F.col("n") / total, 3))
+    return valid.groupBy("model", "pred").agg(F.count(F.lit(1)).alias("n")).withColumn("share", _round(F.col("n") / total, 3))
 
 
 def method_shares(records: DataFrame) -> DataFrame:
     """Per model the share of each extraction method; none is a method too."""
     total = F.sum("n").over(W.partitionBy("model"))
     rows = _keyed(records, ["model"]).groupBy("model", "extraction_method").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("share", F.bround(F.col("n") / total, 3))
+    return rows.withColumn("share", _round(F.col("n") / total, 3))
 
 
 def box_stats(records: DataFrame, value: str = "wall_time_s", by: tuple[str, ...] = ("dataset", "model")) -> DataFrame:
@@ -96,7 +101,7 @@ def box_stats(records: DataFrame, value: str = "wall_time_s", by: tuple[str, ...
     joined = rows.join(q, keys)
     within = joined.where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))
     return within.groupBy(*keys, "q1", "q2", "q3").agg(F.min("v").alias("low"), F.max("v").alias("high")).select(
-        *keys, *(F.bround(c, 6).alias(c) for c in ("low", "q1", "q2", "q3", "high"))
+        *keys, *(_round(c, 6).alias(c) for c in ("low", "q1", "q2", "q3", "high"))
     )
 
 
@@ -116,7 +121,7 @@ def accuracy_interval(records: DataFrame) -> DataFrame:
     rows = _keyed(records, ["dataset", "model"]).groupBy("dataset", "model").agg(F.count("correct").alias("n"), _rate("correct").alias("p"))
     half = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.nullif(F.col("n"), F.lit(0)))
     return rows.select(
-        "dataset", "model", "n", F.bround("p", 3).alias("accuracy"), F.bround(F.col("p") - half, 3).alias("low"), F.bround(F.col("p") + half, 3).alias("high")
+        "dataset", "model", "n", _round(F.col("p"), 3).alias("accuracy"), _round(F.col("p") - half, 3).alias("low"), _round(F.col("p") + half, 3).alias("high")
     )
 
 

@@ -20,6 +20,21 @@ def norm(column: str) -> str:
     return f"regexp_replace(lower(regexp_replace({column}, '^{BLANK}+|{BLANK}+$', '', 'g')), '{BLANK}+', ' ', 'g')"
 
 
+def stable(sql: str) -> str:
+    """Every value that is rounded half to even is rounded to nine digits before."""
+    mark, out, at = "round_even(", "", 0
+    while (start := sql.find(mark, at)) >= 0:
+        depth, comma, k = 1, -1, start + len(mark)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            comma = k if sql[k] == "," and depth == 1 else comma
+            k += 1
+        inner = stable(sql[start + len(mark) : comma])
+        out += f"{sql[at:start]}{mark}round_even({inner}, 9){sql[comma:k]}"
+        at = k
+    return out + sql[at:]
+
+
 def digits(text: str, modulus: int) -> str:
     steps = f"list_transform(string_split(sha256({text}), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)"
     return f"list_reduce(list_prepend(0::BIGINT, {steps}), lambda a, c: (a * 16 + c) % {modulus})"
@@ -250,3 +265,6 @@ STATEMENTS = {
         sc AS (SELECT *, (2 * coalesce(error_type = 'process', false)::INT + coalesce(mean_top1 >= (SELECT median(mean_top1) FROM tab), false)::INT + coalesce(cohesion >= (SELECT median(cohesion) FROM tab), false)::INT)::INT AS score FROM tab)
         SELECT *, CASE WHEN score <= 1 THEN 'low' WHEN score = 2 THEN 'medium' ELSE 'high' END AS impact FROM sc""",
 }
+
+for _name in ("run_metrics", "run_metrics_full", "accuracy_by_length_quartile", "prediction_bias", "extraction_method_share", "latency_box", "accuracy_interval"):
+    STATEMENTS[_name] = stable(STATEMENTS[_name])

@@ -27,9 +27,18 @@ SPLIT = (
 )
 
 #: One inference record. The three durations come only from some backends.
-RECORD = T.StructType.fromDDL(
-    "id string, dataset string, split string, model string, hf_model string, mock boolean, prompt_sha string, seed int, "
-    "gold string, pred string, valid boolean, extraction_method string, strict_format boolean, correct boolean, ts string, "
-    "raw_response string, wall_time_s double, prompt_tokens int, gen_tokens int, "
-    "gen_duration_s double, total_duration_s double, load_duration_s double"
+_KINDS = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "double": T.DoubleType()}
+RECORD = T.StructType(
+    [
+        T.StructField(name, _KINDS[kind])
+        for name, kind in (
+            pair.split()
+            for pair in (
+                "id string, dataset string, split string, model string, hf_model string, mock boolean, prompt_sha string, "
+                "seed int, gold string, pred string, valid boolean, extraction_method string, strict_format boolean, "
+                "correct boolean, ts string, raw_response string, wall_time_s double, prompt_tokens int, gen_tokens int, "
+                "gen_duration_s double, total_duration_s double, load_duration_s double"
+            ).split(", ")
+        )
+    ]
 )

@@ -30,10 +30,11 @@ def read_questions(spark: SparkSession, path: str, schema: T.StructType = QUESTI
 
 
 def read_unified(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame:
-    """The union of all files of all datasets; the split comes from each file's name."""
+    """The union of all files of all datasets; the split comes from each file's (or table folder's) name."""
     frames = [
-        spark.read.parquet(*paths).withColumns({"dataset": F.lit(name), "split": infer_split(F.col("_metadata.file_path"))})
+        spark.read.parquet(path).withColumns({"dataset": F.lit(name), "split": infer_split(F.lit(path.rstrip("/")))})
         for name, paths in files.items()
+        for path in paths
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
