@@ -121,7 +121,13 @@ def assign(members: DataFrame, plans: DataFrame, large: float = 0.005) -> DataFr
         "named_struct('lacks', transform(s.lacks, (x, i) -> x - CASE WHEN i + 1 = array_position(s.lacks, array_max(s.lacks)) "
         "THEN b.n ELSE 0 END), 'at', array_append(s.at, CAST(array_position(s.lacks, array_max(s.lacks)) AS int))))"
     )
-    placed = plan.withColumn("s", F.expr(step)).withColumn("open", F.expr("transform(s.lacks, x -> greatest(x, 0D))"))
+    placed = plan.withColumn("s", F.expr(step)).withColumn(
+        "open", F.expr("transform(s.lacks, x -> greatest(x, 0D))")
+    )
+    # With nothing left to share out, the ranges are those of the plan.
+    placed = placed.withColumn(
+        "open", F.expr("CASE WHEN array_max(open) > 0D THEN open ELSE transform(pieces, p -> greatest(p.share, 1e-9D)) END")
+    )
     fixed = placed.select(
         "plan_id",
         "pieces",

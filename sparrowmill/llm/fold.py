@@ -51,6 +51,11 @@ def _points(text: str) -> set[str]:
     return {chr(int(x, 16)) for x in text.split()}
 
 
+def _class(c: str) -> int:
+    """The combining class; vowels and finals of Korean syllables stay with their initial, in this order."""
+    return 1 if "\u1160" <= c <= "\u11a7" else 2 if "\u11a8" <= c <= "\u11ff" else U.combining(c)
+
+
 @lru_cache(maxsize=1)
 def tables() -> tuple[list, list]:
     """``(character, its decomposed form, combining classes)`` and ``(decomposed, composed)``."""
@@ -77,8 +82,8 @@ def tables() -> tuple[list, list]:
             continue
         c = chr(p)
         d = "".join(same.get(x, x) for x in simple(c))
-        if d != c or U.combining(c):
-            folds.append((c, list(d), [U.combining(x) for x in d]))
+        if d != c or _class(c):
+            folds.append((c, list(d), [_class(x) for x in d]))
         n = U.normalize("NFD", c)
         if n != c and U.normalize("NFC", n) == c:
             whole.append((n, c))
