@@ -79,9 +79,10 @@ def columns_of(classes: DataFrame, threshold: float, rare: int) -> DataFrame:
         f"CASE WHEN {one}.d <= {rare} OR i + 1 > least(n, lead + 1) THEN array({one}.w) "
         f"ELSE flatten(transform(sequence(i + 1, least(n, lead + 1)), j -> {pair})) END))"
     )
-    return ranked.select(
-        F.explode(F.expr(keys)).alias("key"), "cls", "n", sketch("h", 0).alias("s0"), sketch("h", 1).alias("s1")
-    )
+    # Written by class, with the columns of each as an array, so that the counts of the
+    # columns and the join over them read the same rows and do not make them twice.
+    made = cut(ranked.select("cls", "n", sketch("h", 0).alias("s0"), sketch("h", 1).alias("s1"), F.expr(keys).alias("keys")))
+    return made.select(F.explode("keys").alias("key"), "cls", "n", "s0", "s1")
 
 
 def class_pairs(classes: DataFrame, threshold: float = 0.7, rare: int = 256, block: int = 4096) -> DataFrame:
