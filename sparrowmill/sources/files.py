@@ -60,7 +60,12 @@ def done_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_records(records: DataFrame, folder: str) -> None:
-    """Append JSON lines, one folder for each model, dataset and split; nulls are written out."""
+    """Append JSON lines, one folder for each model, dataset and split; nulls are written out.
+
+    Records without a time get the present one as local ISO text.
+    """
+    if "ts" not in records.columns:
+        records = records.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
     keyed = records.withColumns({"_m": slug(F.col("model")), "_d": F.col("dataset"), "_s": F.col("split")})
     keyed.write.mode("append").option("ignoreNullFields", False).partitionBy("_m", "_d", "_s").json(folder)
 
