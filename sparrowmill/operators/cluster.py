@@ -2,44 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import materialised
 from .sampling import SEED
 from .similarity import tfidf
 
 
-def latent(df: DataFrame, key: str, text: str, components: int = 50, features: int = 20_000) -> DataFrame:
-    """``key, vector``: uncentred truncated SVD of the tf-idf rows; texts without a term get none.
+def latent(
+    df: DataFrame, key: str, text: str, components: int = 50, features: int = 20_000, spare: int = 10, passes: int = 4, seed: int = SEED
+) -> DataFrame:
+    """``key, vector``: the rows of the uncentred truncated SVD of the tf-idf matrix; texts without a term get none.
 
-    The number of components is cut to what the matrix has.
+    Randomised: a basis of ``components + spare`` directions is multiplied by the matrix and its transpose
+    ``passes`` times, one job each, and rotated to the leading singular directions. What travels is
+    a matrix of ``features`` by the basis, whatever the number of texts. The number of
+    components is cut to what the matrix has.
     """
-    weights = tfidf(df, key, text, [], features)
     spark = df.sparkSession
-    # At most ``features`` terms.
-    terms = weights.select("term").distinct().orderBy("term").limit(features).collect()
+    weights = materialised(tfidf(df, key, text, [], features))
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").limit(features).collect()]
+    kind = dict(df.dtypes)[key]
+    if not terms:
+        return df.select(key).limit(0).withColumn("vector", F.array().cast("array<double>"))
+    index = spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, i int")
+    rows = materialised(
+        weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("x"))
+        .select(key, F.transform("x", lambda e: e["i"]).alias("i"), F.transform("x", lambda e: e["w"]).alias("w"))
+    )
     width = len(terms)
-    if not width:
-        return spark.createDataFrame([], T.StructType().add(key, T.StringType()).add("vector", T.ArrayType(T.DoubleType())))
-    index = spark.createDataFrame([(r["term"], i) for i, r in enumerate(terms)], "term string, i int")
-    rows = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("x"))
-    # Written once, so that a row keeps its number.
-    ids = materialised(rows.select(key, F.monotonically_increasing_id().alias("n"), "x"))
-    # The decomposition passes over the rows again and again.
-    entries = ids.rdd.map(lambda r: IndexedRow(r["n"], Vectors.sparse(width, [e["i"] for e in r["x"]], [e["w"] for e in r["x"]])))
-    matrix = IndexedRowMatrix(entries.persist(StorageLevel.MEMORY_AND_DISK))
-    matrix.rows.persist(StorageLevel.MEMORY_AND_DISK)
-    svd = matrix.computeSVD(min(components, width, max(1, ids.count())), computeU=True)
-    scale = list(svd.s)
-    us = svd.U.rows.map(lambda r: (r.index, [float(u * s) for u, s in zip(r.vector, scale)])).toDF("n long, vector array<double>")
-    return ids.join(us, "n").select(key, "vector")
+    basis = np.random.default_rng(seed).standard_normal((width, min(components + spare, width)))
+    for _ in range(passes):
+        basis, _ = np.linalg.qr(basis)
+        sent = spark.sparkContext.broadcast(basis)
+
+        def product(part: Iterator) -> Iterator[np.ndarray]:
+            total = np.zeros_like(sent.value)
+            for r in part:
+                w = np.array(r["w"])
+                total[r["i"]] += np.outer(w, w @ sent.value[r["i"]])
+            yield total
+
+        image = rows.rdd.mapPartitions(product).treeReduce(np.add)
+        before, basis = basis, image
+    # The image is the Gram matrix applied to the last orthonormal basis.
+    values, rotation = np.linalg.eigh(before.T @ image)
+    order = np.argsort(-values)[:components]
+    right = before @ rotation[:, order[values[order] > 1e-12]]
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            vectors = [np.asarray(w) @ right[np.asarray(i)] for i, w in zip(pdf["i"], pdf["w"])]
+            yield pd.DataFrame({key: pdf[key], "vector": vectors})
+
+    return rows.mapInPandas(project, f"`{key}` {kind}, vector array<double>")
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int = 25, seed: int = SEED) -> DataFrame:

@@ -123,3 +123,25 @@ def test_cohesion_closed_form(spark):
             block = s[np.ix_(range(a, 12, 3), range(b, 12, 3))]
             want = (block.sum() - np.trace(block)) / (block.size - len(block)) if a == b else block.mean()
             assert abs(got[a, b] - want) < 1e-5
+
+
+def test_latent_vectors_are_those_of_the_svd(spark):
+    import numpy as np
+
+    from sparrowmill.operators import cluster
+
+    rng = np.random.default_rng(3)
+    texts = [(f"d{k}", " ".join(f"term{rng.integers(12)}" for _ in range(8))) for k in range(30)] + [("none", "the of")]
+    df = spark.createDataFrame(texts, "id string, question string")
+    weights = S.tfidf(df, "id", F.col("question"), []).collect()
+    ids, terms = sorted({r["id"] for r in weights}), sorted({r["term"] for r in weights})
+    x = np.zeros((len(ids), len(terms)))
+    for r in weights:
+        x[ids.index(r["id"]), terms.index(r["term"])] = r["w"]
+    got = {r["id"]: np.array(r["vector"]) for r in cluster.latent(df, "id", F.col("question"), components=4, passes=12).collect()}
+    assert sorted(got) == ids
+    y = np.array([got[i] for i in ids])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    want = u[:, :4] * s[:4]
+    assert np.abs(y @ y.T - want @ want.T).max() < 1e-4
+    assert cluster.latent(df.where("id = 'none'"), "id", F.col("question")).count() == 0
