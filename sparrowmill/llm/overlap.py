@@ -59,12 +59,17 @@ def fingerprints(texts: DataFrame, gram: int, window: int) -> DataFrame:
         f"array_distinct(transform(sequence(1, greatest(size(g) - {window - 1}, 1)), "
         f"i -> array_min(transform(slice(g, i, {window}), x -> struct(x.d AS d, x.key AS key, x.pos AS pos)))))"
     )
-    chosen = ordered.select("cls", F.explode(F.expr(least)).alias("x")).groupBy("cls", F.col("x.key").alias("key")).agg(
-        F.min("x.pos").alias("pos")
-    )
+    # Of the places of a hash the first counts. Written by text, so that the counts of the
+    # fingerprints and the join over them read the same rows and do not make them twice.
+    by_key = F.array_sort(F.transform("g", lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos"))))
+    first = F.filter("g", lambda x, i: (i == 0) | (x["key"] != F.get("g", i - 1)["key"]))
+    chosen = ordered.select("cls", F.expr(least).alias("g")).select("cls", by_key.alias("g")).select("cls", first.alias("g"))
     hashed = texts.select("cls", "s", "e", F.expr("transform(array_distinct(words), w -> xxhash64(w))").alias("h"))
     facts = hashed.select("cls", "s", "e", F.size("h").alias("n"), sketch("h", 0).alias("s0"), sketch("h", 1).alias("s1"))
-    return chosen.join(facts, "cls")
+    made = cut(chosen.join(facts, "cls"))
+    return made.select(F.explode("g").alias("x"), "cls", "s", "e", "n", "s0", "s1").select(
+        F.col("x.key").alias("key"), F.col("x.pos").alias("pos"), "cls", "s", "e", "n", "s0", "s1"
+    )
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
