@@ -7,10 +7,12 @@ rule may match; a question without labels matches no letter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_value, strip_think
+from .text import let, norm_value, strip_think
 
 # The wording of the rules that name a letter, in their order.
 LETTER_RULES = (
@@ -31,10 +33,11 @@ def last_match(text: Column, pattern: Column, group: int) -> Column:
 def extract(response: Column, labels: Column, texts: Column | None = None) -> Column:
     """``struct<pred, method>``, both null where no rule succeeds or the response is null."""
     upper = F.transform(labels, lambda x: F.upper(x))
-    letters = F.array_join(upper, "")
-    known = F.length(letters) > 0
-    text = strip_think(response)
+    return let(strip_think(response), lambda text: let(F.array_join(upper, ""), lambda letters: _cascade(text, letters, upper, texts)))
 
+
+def _cascade(text: Column, letters: Column, upper: Column, texts: Column | None) -> Column:
+    known = F.length(letters) > 0
     found = []
     for name, lead in LETTER_RULES:
         pattern = F.concat(F.lit(rf"(?id){lead}\s*[:\-]?\s*\(?(["), letters, F.lit(r"])\b\)?"))
@@ -42,10 +45,13 @@ def extract(response: Column, labels: Column, texts: Column | None = None) -> Co
 
     if texts is not None:
         candidate = F.coalesce(*(last_match(text, F.lit("(?id)" + rule), 1) for rule in VALUE_RULES))
-        value = norm_value(candidate)
         pairs = F.filter(F.arrays_zip(upper.alias("l"), texts.alias("t")), lambda p: p["l"].isNotNull() & p["t"].isNotNull())
-        hits = F.filter(pairs, lambda p: norm_value(p["t"]) == value)
-        found.append(("value_match", F.when((value != "") & (F.size(hits) == 1), hits[0]["l"])))
+
+        def matched(value: Column) -> Column:
+            hits = F.filter(pairs, lambda p: norm_value(p["t"]) == value)
+            return F.when(value != "", let(hits, lambda h: F.when(F.size(h) == 1, h[0]["l"])))
+
+        found.append(("value_match", let(norm_value(candidate), matched)))
 
     tail = F.right(text, F.lit(TAIL))
     pattern = F.concat(F.lit(r"(?md)\(["), letters, F.lit(r"]\)|(?:^|\s)["), letters, F.lit(r"][).:]?\s*$"))
@@ -53,6 +59,9 @@ def extract(response: Column, labels: Column, texts: Column | None = None) -> Co
     whole = F.when(known, last_match(tail, pattern, 0))
     found.append(("tail_letter", F.upper(F.nullif(F.regexp_replace(whole, r"[\s().:]", ""), F.lit("")))))
 
-    pred = F.coalesce(*(c for _, c in found))
-    method = F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in found))
-    return F.struct(pred.alias("pred"), method.alias("method"))
+    # Each rule is evaluated once, and only where those before it have failed.
+    def named(name: str) -> Callable[[Column], Column]:
+        return lambda p: F.when(p.isNotNull(), F.struct(p.alias("pred"), F.lit(name).alias("method")))
+
+    nothing = F.lit(None).cast("string")
+    return F.coalesce(*(let(c, named(n)) for n, c in found), F.struct(nothing.alias("pred"), nothing.alias("method")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ PREFIX = 200
 NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used; also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, and numbers with at most one fraction, in lower case."""
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
@@ -49,15 +56,20 @@ def norm_value(text: Column) -> Column:
     the infinities count as numbers; digits outside ASCII do not.
     """
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[\s,$]", ""), r"\.+$", "")
-    number = F.when(plain.rlike(NUMBER), F.translate(plain, "_", "").try_cast("double"))
-    key = F.when(number == 0, F.lit("0")).otherwise(F.format_string("%.5e", number))
-    return (
-        F.when(number.isNotNull(), key)
-        .when(plain.rlike(r"^[+-]?nan$"), "nan")
-        .when(plain.rlike(r"^\+?inf(inity)?$"), "inf")
-        .when(plain.rlike(r"^-inf(inity)?$"), "-inf")
-        .otherwise(plain)
-    )
+
+    def key(p: Column) -> Column:
+        number = F.when(p.rlike(NUMBER), F.translate(p, "_", "").try_cast("double"))
+        return let(
+            number,
+            lambda n: F.when(n == 0, "0")
+            .when(n.isNotNull(), F.format_string("%.5e", n))
+            .when(p.rlike(r"^[+-]?nan$"), "nan")
+            .when(p.rlike(r"^\+?inf(inity)?$"), "inf")
+            .when(p.rlike(r"^-inf(inity)?$"), "-inf")
+            .otherwise(p),
+        )
+
+    return let(plain, key)
 
 
 def strip_think(text: Column) -> Column:
