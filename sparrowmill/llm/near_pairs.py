@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, digest, pairs_by_key, word_set
+from .components import components
 
 
 def classes_of(records: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -132,3 +133,27 @@ def near_pairs(
     members, classes = classes_of(records, id_col, text_col)
     members, classes = cut(members), cut(classes)
     return expand(class_pairs(classes, threshold, rare, block), members, block)
+
+
+def near_groups(
+    records: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, rare: int = 256, block: int = 4096
+) -> DataFrame:
+    """``id, group_id, links``: every record with a word, the least id of its group, and its number of partners.
+
+    A group is what chains of pairs connect. Copies are counted, not expanded into pairs. Nulls, repeated ids
+    and empty tables are treated as in ``near_pairs``.
+    """
+    members, classes = classes_of(records, id_col, text_col)
+    members, classes = cut(members), cut(classes)
+    pairs = cut(class_pairs(classes, threshold, rare, block).select("a", "b"))
+    found = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = ends.join(sizes.select(F.col("cls").alias("b"), "k"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("k").alias("across"))
+    grouped = (
+        sizes.join(found.withColumnRenamed("node", "cls"), "cls", "left")
+        .join(across, "cls", "left")
+        .select("cls", "least", F.coalesce("component", "cls").alias("component"), (F.coalesce("across", F.lit(0)) + F.col("k") - 1).alias("links"))
+    )
+    first = grouped.groupBy("component").agg(F.min("least").alias("group_id"))
+    return members.join(grouped.join(first, "component"), "cls").select("id", "group_id", "links")

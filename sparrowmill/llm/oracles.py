@@ -22,6 +22,14 @@ SELECT id_a, id_b FROM p JOIN q a ON a.id = id_a JOIN q b ON b.id = id_b
 WHERE (a.split = 'train' AND b.split IN ('validation', 'test')) OR (b.split = 'train' AND a.split IN ('validation', 'test'))
 """
 
+P1_GROUPS = (
+    PAIRS.replace("WITH q", "WITH RECURSIVE q", 1)
+    + """, e AS (SELECT id_a AS u, id_b AS v FROM p UNION ALL SELECT id_b, id_a FROM p),
+c(id, m) AS (SELECT id, id FROM n UNION SELECT c.id, e.v FROM c JOIN e ON e.u = c.m)
+SELECT id, min(m) AS group_id, (SELECT count(*) FROM e WHERE e.u = c.id) AS links FROM c GROUP BY id
+"""
+)
+
 P5 = f"""
 WITH RECURSIVE r AS (
   SELECT DISTINCT id,
@@ -38,4 +46,4 @@ SELECT id_first, id AS id_other FROM g JOIN f USING (g) WHERE id <> id_first
 
 
 def oracles() -> dict:
-    return {"p1_found": PAIRS + "SELECT id_a, id_b FROM p", "p6_found": PAIRS + P6, "p5_found": P5}
+    return {"p1_groups": P1_GROUPS, "p1_found": PAIRS + "SELECT id_a, id_b FROM p", "p6_found": PAIRS + P6, "p5_found": P5}

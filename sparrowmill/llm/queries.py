@@ -13,6 +13,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs.near_pairs(table(spark, sf_dir, "questions"), "id", "question", 0.7).select("id_a", "id_b")
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs.near_groups(table(spark, sf_dir, "questions"), "id", "question", 0.7)
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = [table(spark, sf_dir, name) for name in ("questions", "anchor_questions")]
     return defects.classify(table(spark, sf_dir, "responses"), *asked)
@@ -118,5 +122,5 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_forms]
+    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_forms]
     return {f.__name__: f for f in own}
