@@ -22,7 +22,7 @@ def word_sequence(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """The distinct words of a text, sorted; null for a null text."""
-    return F.array_sort(F.array_distinct(word_sequence(text)))
+    return F.sort_array(F.array_distinct(word_sequence(text)))
 
 
 def digest(value: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import digest, pairs_by_key
+from .common import cut, digest, pairs_by_key
 
 # Letters of other scripts with the shape of a Latin letter, each
 # followed by that letter.
@@ -44,7 +44,12 @@ UNSEEN = "034F 115F 1160 3164 FFA0"
 #: Stands for a joiner between pictographs, which is part of the picture, while a piece is worked on.
 JOINED = "\ufdd0"
 PICTURE = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}"
-PIECES = r"(?s)[\x00-\x7F]?[^\x00-\x7F]+|(?:[\x00-\x7F](?![^\x00-\x7F]))+"
+#: ASCII up to the character before others, or others with that character. Long runs are cut, but never
+#: before a mark or behind a joiner, so that no base is parted from what belongs to it.
+PIECES = (
+    r"[\x00-\x7F]+(?![^\x00-\x7F])|"
+    r"[\x00-\x7F]?[^\x00-\x7F]{1,128}(?:[\p{M}\p{Cf}\x{1160}-\x{11FF}]|(?<=\x{200D})[^\x00-\x7F]){0,1000}"
+)
 
 
 def _points(text: str) -> set[str]:
@@ -174,7 +179,14 @@ def same_look(df: DataFrame, id_col: str, text_col: str, block: int = 4096) -> D
         .where(F.col("folded").rlike(r"(?U)[^\s]"))
         .select(F.col(id_col).alias("id"), digest(F.col("folded")).alias("look"), digest(F.col(text_col)).alias("raw"))
     )
-    several = keyed.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi")
-    rows = keyed.join(several.select("look"), "look", "left_semi").dropDuplicates(["id", "raw"])
-    pairs = pairs_by_key(rows, "look", "id", block, F.col("a_raw") != F.col("b_raw"))
-    return pairs.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
+    keyed = cut(keyed.dropDuplicates(["id", "raw"]))
+    # Equal texts are one class, so that many copies of a text meet only what differs from them.
+    classes = keyed.select("look", "raw").distinct()
+    pairs = pairs_by_key(classes, "look", "raw", block)
+    return (
+        pairs.join(keyed.select(F.col("raw").alias("a_raw"), F.col("id").alias("x")), "a_raw")
+        .join(keyed.select(F.col("raw").alias("b_raw"), F.col("id").alias("y")), "b_raw")
+        .where("x <> y")
+        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        .distinct()
+    )
