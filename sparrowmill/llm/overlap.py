@@ -56,12 +56,12 @@ def fingerprints(texts: DataFrame, gram: int, window: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "d", "key"))).alias("g")
     )
     least = (
-        f"array_distinct(transform(sequence(1, greatest(size(g) - {window - 1}, 1)), "
-        f"i -> array_min(transform(slice(g, i, {window}), x -> struct(x.d AS d, x.key AS key, x.pos AS pos)))))"
+        f"transform(sequence(1, greatest(size(g) - {window - 1}, 1)), "
+        f"i -> array_min(transform(slice(g, i, {window}), x -> struct(x.d AS d, x.key AS key, x.pos AS pos))))"
     )
     # Of the places of a hash the first counts. Written by text, so that the counts of the
     # fingerprints and the join over them read the same rows and do not make them twice.
-    by_key = F.array_sort(F.transform("g", lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos"))))
+    by_key = F.sort_array(F.transform("g", lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos"))))
     first = F.filter("g", lambda x, i: (i == 0) | (x["key"] != F.get("g", i - 1)["key"]))
     chosen = ordered.select("cls", F.expr(least).alias("g")).select("cls", by_key.alias("g")).select("cls", first.alias("g"))
     hashed = texts.select("cls", "s", "e", F.expr("transform(array_distinct(words), w -> xxhash64(w))").alias("h"))
@@ -161,10 +161,12 @@ def overlaps(
         F.when(first, F.col("coverage_b")).otherwise(F.col("coverage_a")).alias("coverage_b"),
     )
     # Texts with equal words have all fingerprints in common.
-    both = texts.where("s AND e").select("cls")
-    equal = pairs_by_key(members.join(both, "cls", "left_semi"), "cls", "id", block, F.expr("a_side <> b_side")).select(
-        F.col("a_id").alias("id_a"),
-        F.col("b_id").alias("id_b"),
+    # The two sides of a text are joined with each other, not all copies with all.
+    both = members.join(texts.where("s AND e").select("cls"), "cls", "left_semi")
+    one, other = (both.where(F.col("side") == k).select("cls", F.col("id").alias(n)) for k, n in ((0, "x"), (1, "y")))
+    equal = one.join(other, "cls").select(
+        F.least("x", "y").alias("id_a"),
+        F.greatest("x", "y").alias("id_b"),
         F.lit(1.0).alias("likeness"),
         F.lit(1.0).alias("coverage_a"),
         F.lit(1.0).alias("coverage_b"),
@@ -174,7 +176,7 @@ def overlaps(
 
 def split_name(split: Column) -> Column:
     """``split`` without regard to letter case and outer blanks."""
-    return F.regexp_replace(F.lower(split), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.lower(split), r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def split_side(split: Column) -> Column:
