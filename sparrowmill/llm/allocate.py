@@ -68,6 +68,9 @@ def cells(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame,
     """``(one row a target, (plan_id, cell, id) of its records, one row with the number of records)``.
 
     A record belongs to the target of its dataset and subject, or else to that of its whole dataset.
+    Names are compared by their words in lower case. Null ids are left out, rows with the same id are one
+    record, a null dataset or one without a target belongs nowhere; other columns are not read; with no records
+    every target draws nothing, with no targets the sample is empty.
     """
     one = cut(
         records.select("id", plain(F.col("dataset")).alias("d"), plain(F.col("subject")).alias("s"))

@@ -220,7 +220,7 @@ def test_fold(spark):
     same = [
         ("é", "é"), ("Å", "Å"), ("ｆｕｌｌ　１２", "full 12"), ("ﬁne ﬂow", "fine flow"), ("a​b﻿­c", "abc"),
         ("a b c d", "a b c d"), ("re‐do‑x", "re-do-x"), ("Аррlе", "Apple"), ("Ηeу", "Hey"), ("ё", "ë"),
-        ("q̣̇", "q̣̇"), ("ệ", "ệ"), ("a\r\nb", "a\nb"), ("각", "각"), ("e​́", "é"), ("́x", "́x"),
+        ("q̣̇", "q̣̇"), ("ệ", "ệ"), ("a\r\nb", "a\nb"), ("각", "각"), ("é" * 300, "é" * 300), ("x" + "👩‍🏫" * 70, "x" + "👩‍🏫" * 70), ("e​́", "é"), ("́x", "́x"),
     ]
     apart = [("É", "é"), ("e", "é"), ("2", "²"), ("a.", "a!"), ("a b", "a  b"), ("👩‍🏫", "👩🏫"), ("a\tb", "a b"), ("ß", "ss"), ("–", "-")]
     flat = [t for pair in same + apart for t in pair] + ["", None, "plain", "​", "x" * 20000 + "é" * 20000]
@@ -242,3 +242,23 @@ def test_same_look(spark):
     for block in (1, 1000):
         got = sorted((r["id_a"], r["id_b"]) for r in fold.same_look(df, "doc_id", "text", block).collect())
         assert got == [(1, 2), (2, 3)]
+
+
+# --- very long texts ---------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    import time
+
+    began = time.time()
+    blanks, many = "a" + " " * 100_000 + "b", " ".join(f"w{i % 5000}" for i in range(30_000))
+    texts = [(1, blanks), (2, "x" * 500_000 + "é"), (3, many), (4, "é" * 100_000), (5, "-" * 100_000 + "a"), (6, many + " more")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["doc_id"]: len(r["folded"]) for r in fold.fold(docs, "doc_id", "text").collect()} == {i: len(t) for i, t in texts}
+    item = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(100, 120)))], "item_id long, text string")
+    assert sorted(tuple(r) for r in leak.leaks(docs, "doc_id", "text", item, "item_id", "text").collect()) == [(3, 7), (6, 7)]
+    assert {len(r["ids"]) > 0 for r in encode.encode(docs.where("doc_id <> 2"), "doc_id", "text").collect()} == {True}
+    q = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("doc_id") == 3, "train").otherwise("test").alias("split"))
+    assert [(r["id_a"], r["id_b"]) for r in near_pairs.near_pairs(q, "id", "question").collect()] == [("3", "6")]
+    assert [(r["id_a"], r["id_b"]) for r in overlap.overlaps(q, "id", "question", overlap.split_side(F.col("split"))).collect()] == [("3", "6")]
+    assert time.time() - began < 150

@@ -51,6 +51,14 @@ def test_defects(spark, tables):
     assert [got[n + k] for k in range(4)] == [None, "other_language", None, None]
 
 
+def test_long_responses(spark, tables):
+    texts = [(1, " " * 300_000), (2, "a" + " " * 300_000 + "b."), (3, "-" * 300_000), (4, "-" * 300_000 + "a"), (5, "word " * 100_000 + "end."), (6, "<think>" * 50_000)]
+    rows = [(k, "q1", "m", "r", 1, t) for k, t in texts]
+    responses = spark.createDataFrame(rows, "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string")
+    got = {r["rec_id"]: r["defect"] for r in defects.classify(responses, tables[1]).collect()}
+    assert got == {1: "empty", 2: None, 3: "empty", 4: "truncated", 5: None, 6: "truncated"}
+
+
 def test_recurring_templates_without_an_answer_are_refusals(spark):
     # Nothing in these words declines; they recur over prompts and never with an answer.
     rows = [(k, f"q{k}", "m", "r", 9, "Kindly consult the nearest office for matters of this kind.") for k in range(30)]
