@@ -13,7 +13,7 @@ SEED = "md5(concat_ws('#', '42', {0}))"
 SEED1 = "md5(concat_ws('#', '43', {0}))"
 TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z]+|\\d+(?:[.,]\\d+)?'), lambda x: lower(x))"
 BLANK = "[\\s\\p{Z}]"
-WORDS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> ''))"
+WORDS = "len(list_filter(regexp_split_to_array({0}, '[\\s\\x0b\\x85\\p{{Z}}]+'), lambda w: w <> ''))"
 
 
 def norm(column: str) -> str:
