@@ -8,11 +8,11 @@ of the chosen rows and updates it by one column at a time.
 
 Texts with equal word sets are one candidate. Candidates are dealt to blocks of
 bounded size by hash; each block yields a core-set, twice its part of the subset.
-The core-sets together are arranged by locality (signs of random
-projections), so that similar texts meet in one block of the final pass, and
-ordered there by greedy gain. Blocks of dissimilar texts are almost orthogonal, and
-the greedy order of a block-diagonal kernel is the merge of its blocks' orders by gain, so the
-subset is the rows with the highest gains. Orders are nested: a smaller
+One greedy pass goes over all core-sets together: what the chosen rows say about a
+further one is held in a matrix of the size of a vector, whatever their number, and
+gains only fall. So each round fetches the rows of highest gain, chooses among them
+while the best gain is above all that was left behind, and sends the matrix back; the order is
+that of a pass over all rows at once, for any size of the rounds. Orders are nested: a smaller
 subset is the beginning of a larger one.
 """
 
@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import cut, word_set
 from .ranking import ranked, unit_hash
@@ -33,6 +34,9 @@ from .ranking import ranked, unit_hash
 #: Buckets of the document counts; bounds what is sent to the workers.
 COUNTS = 1 << 16
 DIMENSIONS = 256
+#: Coordinates a word is spread over. With one, the odd word of a near copy that
+#: falls on a coordinate still free makes the copy look new.
+PLACES = 4
 STRENGTH = 50.0
 
 
@@ -46,9 +50,11 @@ def vectors(texts: pd.Series, counts: np.ndarray, total: int) -> np.ndarray:
     for k, words in enumerate(texts):
         h = bucket(list(words))
         weight = np.log((1 + total) / (1 + counts[h % COUNTS])) + 1
-        mixed = h * np.uint32(2654435761)
-        sign = np.where(mixed >> np.uint32(31), 1.0, -1.0)
-        np.add.at(out[k], (mixed >> np.uint32(8)) % DIMENSIONS, weight * sign)
+        for place in range(PLACES):
+            mixed = (h + np.uint32(place * 0x9E3779B9 % (1 << 32))) * np.uint32(2654435761)
+            mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519)
+            sign = np.where(mixed >> np.uint32(31), 1.0, -1.0)
+            np.add.at(out[k], (mixed >> np.uint32(8)) % DIMENSIONS, weight * sign)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
@@ -71,14 +77,80 @@ def greedy(x: np.ndarray, size: int, strength: float = STRENGTH) -> tuple[np.nda
     return order, gains
 
 
-def locality(x: np.ndarray, bits: int = 16) -> np.ndarray:
-    """Signs of fixed random projections as an integer."""
-    planes = np.random.default_rng(5).standard_normal((x.shape[1], bits)).astype(np.float32)
-    return ((x @ planes > 0) << np.arange(bits)[::-1]).sum(axis=1)
+def quadratic(x: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """``x' inverse x`` of each row; the gain of a row is ``log(1 + strength * x' inverse x)``."""
+    return np.einsum("ij,ij->i", x @ inverse, x)
+
+
+def proceed(
+    x: np.ndarray, size: int, inverse: np.ndarray, floor: float = -np.inf, strength: float = STRENGTH, width: int = 1024
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows in the order chosen, their gains, inverse)`` of a greedy pass that goes on from ``inverse``.
+
+    ``inverse`` belongs to the identity plus ``strength`` times the sum of the outer products of the rows
+    chosen before. Beyond the first row, rows are chosen while their quadratic form is above ``floor``. Only the
+    ``width`` best rows are kept up to date; the others are measured again once one of them could be the best.
+    """
+    inverse, left, order, gains = inverse.copy(), np.ones(len(x), bool), [], []
+    size = min(size, len(x))
+    while len(order) < size:
+        rows = np.flatnonzero(left)
+        value = quadratic(x[rows], inverse)
+        best = np.lexsort((rows, -value))
+        bound = max(floor, value[best[width]]) if len(rows) > width else floor
+        near = np.sort(best[:width])
+        rows, value, y, least = rows[near], value[near], x[rows[near]], floor if order else -np.inf
+        before = len(order)
+        while len(order) < size:
+            j = int(np.argmax(value))
+            if value[j] <= (least if len(order) == before else bound):
+                break
+            scale = 1 + strength * value[j]
+            order.append(rows[j])
+            gains.append(math.log(scale))
+            left[rows[j]] = False
+            side = inverse @ y[j]
+            inverse -= np.outer(side, side) * (strength / scale)
+            value -= (y @ side) ** 2 * (strength / scale)
+            value[j] = -np.inf
+        if len(order) == before:
+            break
+    return np.array(order, int), np.array(gains), inverse
+
+
+def chosen(cores: DataFrame, size: int, work: int) -> DataFrame:
+    """``key, place, gain`` of the first ``size`` rows of a greedy pass over ``cores`` (``key, id, x``).
+
+    The driver holds ``work`` vectors at a time, and the keys and gains of the rows chosen.
+    """
+    inverse = np.eye(DIMENSIONS)
+    keys, gains = np.empty(0, np.int64), np.empty(0)
+    kinds = dict(cores.dtypes)
+    while len(keys) < size:
+        done = np.sort(keys)
+
+        def measured(batches: Iterator[pd.DataFrame], done: np.ndarray = done, inverse: np.ndarray = inverse) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf = pdf[~np.isin(pdf.key.to_numpy(), done)]
+                if len(pdf):
+                    x = np.frombuffer(b"".join(pdf.x), np.float32).reshape(len(pdf), -1).astype(float)
+                    yield pdf.assign(value=quadratic(x, inverse))
+
+        open_rows = cores.mapInPandas(measured, f"key long, id {kinds['id']}, x binary, value double")
+        top = open_rows.orderBy(F.desc("value"), "id").limit(work + 1).select("key", "x", "value").toArrow()
+        if not top.num_rows:
+            break
+        floor = top["value"][work].as_py() if top.num_rows > work else -np.inf
+        top = top.slice(0, work)
+        x = np.frombuffer(b"".join(top["x"].to_pylist()), np.float32).reshape(top.num_rows, -1).astype(float)
+        order, more, inverse = proceed(x, size - len(keys), inverse, floor)
+        keys, gains = np.append(keys, top["key"].to_numpy()[order]), np.append(gains, more)
+    rows = pa.table({"key": keys, "place": np.arange(len(keys)), "gain": gains})
+    return cores.sparkSession.createDataFrame(rows)
 
 
 def choose(
-    records: DataFrame, id_col: str, text_col: str, plans: DataFrame, block: int = 2048, spare: float = 2.0
+    records: DataFrame, id_col: str, text_col: str, plans: DataFrame, block: int = 2048, spare: float = 2.0, work: int = 16384
 ) -> DataFrame:
     """``plan_id, id, rank, gain`` of each plan's subset, of exactly ``share`` of the distinct ids.
 
@@ -110,37 +182,22 @@ def choose(
         pdf = pdf.sort_values("id", kind="stable")
         x = vectors(pdf.words, counts, n)
         order, _ = greedy(x, math.ceil(wanted * len(pdf)))
-        return pd.DataFrame({"id": pdf.id.to_numpy()[order], "words": pdf.words.to_numpy()[order], "code": locality(x[order])})
+        return pd.DataFrame({"id": pdf.id.to_numpy()[order], "x": [row.tobytes() for row in x[order]]})
 
     kind = dict(one.dtypes)["id"]
     blocks = max(1, math.ceil(n / block))
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)))
-    cores = cut(
-        dealt.groupBy("block").applyInPandas(core, f"id {kind}, words array<string>, code int")
-    )
-    # Ranges of codes that hold about a block; a code that holds more is divided by hash.
-    sizes = cores.groupBy("code").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.withColumn("before", F.sum("c").over(W.orderBy("code")) - F.col("c")).select(
-        "code",
-        F.floor(F.col("before") / block).alias("range"),
-        F.ceil(F.col("c") / block).alias("parts"),
-    )
-    placed = cores.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), F.col("parts")))
-
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        order, gains = greedy(vectors(pdf.words, counts, n), len(pdf))
-        return pd.DataFrame({"id": pdf.id.to_numpy()[order], "gain": gains})
-
-    gained = placed.groupBy("range", "part").applyInPandas(final, f"id {kind}, gain double")
+    cores = dealt.groupBy("block").applyInPandas(core, f"id {kind}, x binary")
+    cores = cut(cores.select(F.monotonically_increasing_id().alias("key"), "id", "x"))
+    quota = plan.select("plan_id", F.round(F.col("share") * total).cast("long").alias("quota"))
+    size = quota.agg(F.max("quota")).first()[0] or 0
+    gained = cores.drop("x").join(chosen(cores, size, work), "key").drop("key")
     rest = F.when(F.size("words") > 0, -1.0).otherwise(-2.0)
-    every = cut(one.join(gained, "id", "left").select("id", F.coalesce("gain", rest).alias("gain")))
-    top = math.log(1 + STRENGTH)
-    # Gains lie in (0, top]; rows beyond the core-sets follow by hash.
+    every = cut(one.join(gained, "id", "left").select("id", "place", F.coalesce("gain", rest).alias("gain")))
+    # Rows beyond those chosen follow by hash.
     u = unit_hash(F.col("id"), F.lit(6))
-    place = F.when(F.col("gain") > 0, 0.5 * (1 - F.least(F.col("gain") / top, F.lit(1.0)))).otherwise(
+    place = F.when(F.col("place").isNotNull(), 0.5 * F.col("place") / F.lit(float(max(size, 1)))).otherwise(
         F.when(F.col("gain") > -1.5, 0.5 + 0.25 * u).otherwise(0.75 + 0.25 * u)
     )
-    quota = plan.select("plan_id", F.round(F.col("share") * total).cast("long").alias("quota"))
     spread = every.withColumn("_place", place).crossJoin(F.broadcast(quota.select("plan_id")))
     return ranked(spread, ["plan_id"], F.col("_place"), ["_place", "id"], quota).select("plan_id", "id", "rank", "gain")

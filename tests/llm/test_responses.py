@@ -158,3 +158,41 @@ def test_subset_covers_groups(spark):
     assert sum(i.startswith("hot") for i in by["large"]) <= 16
     assert diverse.choose(df.limit(0), "id", "question", plans).count() == 0
     assert diverse.choose(df, "id", "question", plans.limit(0)).count() == 0
+
+
+def logdet(x):
+    return np.linalg.slogdet(np.eye(x.shape[1]) + diverse.STRENGTH * x.T @ x)[1]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_pass_in_parts_is_the_whole_pass(width):
+    x = np.random.default_rng(4).standard_normal((200, 30))
+    order, gains = diverse.greedy(x.astype(np.float32), 40)
+    got, more, inverse = diverse.proceed(x, 15, np.eye(30), width=width)
+    rest = np.setdiff1d(np.arange(200), got)
+    last, end, _ = diverse.proceed(x[rest], 25, inverse, width=width)
+    assert [*got, *rest[last]] == order.tolist()
+    assert np.allclose([*more, *end], gains, atol=1e-3)
+
+
+def test_subset_is_one_pass_over_all_core_sets(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"t{k % 12}w{i}" for i in range(7)) + f" n{k} m{rng.integers(40)}" for k in range(400)]
+    texts += [" ".join(f"w{i}" for i in rng.integers(0, 900, 8)) for _ in range(200)]
+    df = spark.createDataFrame([(f"q{k:03}", t) for k, t in enumerate(texts)], "id string, question string")
+    plans = spark.createDataFrame([("p", 0.2)], "plan_id string, share double")
+    counts = np.zeros(diverse.COUNTS)
+    bags = [sorted(set(t.split())) for t in texts]
+    for bag in bags:
+        np.add.at(counts, diverse.bucket(bag) % diverse.COUNTS, 1)
+    x = diverse.vectors(bags, counts, len(texts)).astype(float)
+    best = logdet(x[diverse.greedy(x.astype(np.float32), 120)[0]])
+    found = []
+    for work in (16, 10_000):
+        got = diverse.choose(df, "id", "question", plans, block=32, work=work).orderBy("rank").collect()
+        found.append([r["id"] for r in got])
+        at = [int(r["id"][1:]) for r in got]
+        assert len(set(at)) == 120 and logdet(x[at]) > 0.98 * best
+        # The gains are those of the whole subset, not of parts of it.
+        assert abs(sum(r["gain"] for r in got) - logdet(x[at])) < 1e-6
+    assert found[0] == found[1]
