@@ -248,6 +248,15 @@ def plan_cost(spark, d):
     return runner.plan_cost(base(spark, d), table(spark, d, "model_registry"), limit=1250)
 
 
+def resume_todo_full(spark, d):
+    work = runner.work_list(base(spark, d), table(spark, d, "model_registry"))
+    return runner.todo(work, _records(spark, d)).select("model", "dataset", "split", "id")
+
+
+def plan_cost_full(spark, d):
+    return runner.plan_cost(base(spark, d), table(spark, d, "model_registry"))
+
+
 def tfidf_weights(spark, d):
     drawn = sampling.uniform(base(spark, d), ["dataset"], 300)
     w = S.tfidf(drawn, "id", F.col("question"), [])
@@ -318,7 +327,7 @@ QUERIES = [
     uniform_sample, half_split, stratified_train_sample, group_split, antileak_test_candidates, frozen_splits, split_manifest,
     split_disjointness, prompt_render, mock_responses, mock_run_records, extract_answers, normal_values, string_functions,
     run_metrics, run_metrics_full, accuracy_by_length_quartile, prediction_bias, extraction_method_share, latency_box,
-    reasoning_histogram, accuracy_interval, any_mock, resume_todo, plan_cost, tfidf_weights, retrieval_top1, retrieval_top5,
+    reasoning_histogram, accuracy_interval, any_mock, resume_todo, plan_cost, resume_todo_full, plan_cost_full, tfidf_weights, retrieval_top1, retrieval_top5,
     retrieval_report, tfidf_cohesion, embedding_cosine_top1, embedding_cohesion, impact_score, svd_cohesion, cluster_quota_sample,
 ]
 

@@ -246,6 +246,10 @@ STATEMENTS = {
         SELECT model, dataset, split, id FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.model = w.model AND r.dataset = w.dataset AND r.split = w.split AND r.id = w.id)""",
     "plan_cost": f"""WITH {B}, c AS (SELECT dataset, split, least(1250, count(*)) * (SELECT count(*) FROM model_registry) AS calls FROM b GROUP BY ALL)
         SELECT dataset, split, calls, round_even(calls * 2.0::DOUBLE / 3600, 3) AS hours_low, round_even(calls * 15.0::DOUBLE / 3600, 3) AS hours_high FROM c""",
+    "resume_todo_full": f"""WITH {B}, {R} SELECT alias AS model, dataset, split, id FROM b CROSS JOIN model_registry
+        WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.model = alias AND r.dataset = b.dataset AND r.split = b.split AND r.id = b.id)""",
+    "plan_cost_full": f"""WITH {B}, c AS (SELECT dataset, split, count(*) * (SELECT count(*) FROM model_registry) AS calls FROM b GROUP BY ALL)
+        SELECT dataset, split, calls, round_even(calls * 2.0::DOUBLE / 3600, 3) AS hours_low, round_even(calls * 15.0::DOUBLE / 3600, 3) AS hours_high FROM c""",
     "tfidf_weights": f"WITH {TFIDF} SELECT id, term, round_even(w, 6) AS w FROM w",
     "retrieval_top1": f"WITH {RETRIEVAL} SELECT dataset, id, top1 FROM top",
     "retrieval_top5": f"WITH {RETRIEVAL} SELECT dataset, id, top_k_mean FROM top",

@@ -36,3 +36,36 @@ def test_entry(spark):
 def test_plans_have_no_cartesian_product_and_no_python(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_the_whole_work_is_listed(spark, oracle, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, done = 1300, 300
+    choices = pa.array([{"label": ["A"], "text": ["1"]}] * n, pa.struct([("label", pa.list_(pa.string())), ("text", pa.list_(pa.string()))]))
+    text = lambda v: pa.array([v] * n, pa.string())
+    ids = [f"q{i:04}" for i in range(n)]
+    tables = {
+        "questions": pa.table({"id": ids, "dataset": text("d"), "split": text("Train "), "question": text("x"), "choices": choices, "answerKey": text("A"), "subject": text(None)}),
+        "model_registry": pa.table({"alias": ["m", "k"], "hf_id": ["h", "i"]}),
+        "responses": pa.table({"id": ids[:done], "model": ["m"] * done, "dataset": ["d"] * done, "split": ["train"] * done, "raw_response": ["__ERROR__ x"] * done}),
+    }
+    for name, rows in tables.items():
+        pq.write_table(rows, tmp_path / f"{name}.parquet")
+    todo, cost = (QUERIES[q](spark, str(tmp_path)) for q in ("resume_todo_full", "plan_cost_full"))
+    assert todo.count() == 2 * n - done and cost.first()["calls"] == 2 * n
+    oracle(todo, SQL["resume_todo_full"], str(tmp_path))
+    oracle(cost, SQL["plan_cost_full"], str(tmp_path))
+
+
+def test_the_limit_counts_finished_rows(spark):
+    from sparrowmill.operators import runner
+
+    work = spark.createDataFrame([(m, "d", "s", f"q{i}") for m in "ab" for i in range(5)], "model string, dataset string, split string, id string")
+    done = spark.createDataFrame([("a", "d", "s", "q1", "x"), ("a", "d", "s", "q4", "__ERROR__")], "model string, dataset string, split string, id string, raw_response string")
+    got = lambda **k: sorted((r["model"], r["id"]) for r in runner.todo(work, done, **k).collect())
+    assert got(limit=2) == [("a", "q0"), ("b", "q0"), ("b", "q1")]
+    assert len(got()) == 8 and len(got(retry_errors=True)) == 9
+    models, asked = spark.createDataFrame([("a",), ("b",)], "alias string"), work.where("model = 'a'")
+    assert [runner.plan_cost(asked, models, limit=k).first()["calls"] for k in (2, 9, None)] == [4, 10, 10]
