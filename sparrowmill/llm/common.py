@@ -34,17 +34,39 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the cluster's checkpoint folder and read it from there.
 
     The folder is the one named in ``spark.checkpoint.dir``, shared by all
-    executors, so that the loss of one loses no data; a folder of this machine
-    is used only where that setting is missing, as in tests.
+    executors, so that the loss of one loses no data. Where that setting is
+    missing, a folder of this machine is used in local mode, and a cluster raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", least: int = 4096, share: int = 8192) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, of which ``left`` may hold very many rows.
+
+    A key of more than ``least`` rows and more than one in ``share`` of all rows is
+    cut into parts by the hash of the column ``by``, and the rows of ``right`` go to each
+    part. There are fewer than ``share`` such keys, so that their list may be
+    broadcast. Rows with a null key find nothing and are spread likewise. ``how`` is inner or left.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    limit = F.broadcast(counts.agg(F.greatest(F.lit(least), F.ceil(F.coalesce(F.sum("_n"), F.lit(0)) / share)).alias("_limit")))
+    hot = counts.where(F.col(key).isNotNull() & (F.col("_n") > least)).crossJoin(limit).where("_n > _limit")
+    parts = F.broadcast(hot.select(key, F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias("_parts")))
+    place = F.xxhash64(by, F.lit(29))
+    spread = left.join(parts, key, "left").withColumn(
+        "_part", F.pmod(place, F.when(F.col(key).isNull(), share).otherwise(F.coalesce("_parts", F.lit(1)))).cast("int")
+    )
+    copies = right.join(parts, key, "left").withColumn("_part", F.explode(F.expr("sequence(0, coalesce(_parts, 1) - 1)")))
+    return spread.drop("_parts").join(copies.drop("_parts"), [key, "_part"], how).drop("_part")
+
+
 def pairs_by_key(df: DataFrame, key: str, order: str, block: int, keep: Column | None = None) -> DataFrame:
     """All unordered pairs of rows with an equal ``key``, as columns ``a_*`` and ``b_*``.
 

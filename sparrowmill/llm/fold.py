@@ -26,29 +26,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import cut, digest, pairs_by_key
+from .common import cut, digest, pairs_by_key, spread_join
 
-# Letters of other scripts with the shape of a Latin letter, each
-# followed by that letter.
+# Letters of other scripts and Latin variants with the shape of a
+# basic Latin letter, each followed by that letter.
 LOOK_ALIKE = (
-    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW ҮY ӀI "
-    "аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw үy ӏl "
+    # Cyrillic
+    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW ҮY ӀI ѴV ԌG "
+    "аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw үy ӏl ѵv "
+    # Greek
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ "
-    "οo νv ϲc ϳj"
+    "οo νv ϲc ϳj "
+    # Latin
+    "ɑa ɡg ıi ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs "
+    # Armenian
+    "ՏS ՕO Սu օo ոn սu հh ցg զq "
+    # Cherokee
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ "
+    # Lisu
+    "ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ "
+    # Coptic
+    "ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲬX ⲟo ⲣp ⲥc "
 )
 # Code points that show as a hyphen.
 HYPHENS = "2010 2011 2043 FE63 FF0D"
 # Format characters that are seen, and unseen ones of other categories.
 SEEN_FORMATS = "0600 0601 0602 0603 0604 0605 06DD 070F 0890 0891 08E2 110BD 110CD"
 UNSEEN = "034F 115F 1160 3164 FFA0"
-#: Stands for a joiner between pictographs, which is part of the picture, while a piece is worked on.
+#: Stands for a joiner between pictographs, which is part of the picture, while a text is worked on.
 JOINED = "\ufdd0"
 PICTURE = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}"
 #: ASCII up to the character before others, or others with that character. Long runs are cut, but never
-#: before a mark or behind a joiner, so that no base is parted from what belongs to it.
+#: before a mark or an unseen character, however many follow, so that no base is parted from what belongs to it.
 PIECES = (
     r"[\x00-\x7F]+(?![^\x00-\x7F])|"
-    r"[\x00-\x7F]?[^\x00-\x7F]{1,128}(?:[\p{M}\p{Cf}\x{1160}-\x{11FF}]|(?<=\x{200D})[^\x00-\x7F]){0,1000}"
+    r"[\x00-\x7F]?[^\x00-\x7F]{1,128}[\p{M}\p{Cf}\x{115F}-\x{11FF}\x{3164}\x{FF9E}-\x{FFA0}]*+"
 )
 
 
@@ -77,7 +89,8 @@ def tables() -> tuple[list, list]:
         if U.category(c) == "Zs" and c != " ":
             return " "
         kind = U.decomposition(c).partition(" ")[0]
-        if kind in ("<wide>", "<narrow>") or c == "\xb5" or "ﬀ" <= c <= "ﬆ":
+        # Mathematical letters, Latin ligatures and Roman numerals have compatibility forms that look like them.
+        if kind in ("<wide>", "<narrow>") or c == "\xb5" or "\U0001d400" <= c <= "\U0001d7ff" or "ﬀ" <= c <= "ﬆ" or "\u2160" <= c <= "\u217f":
             return U.normalize("NFKD", c)
         return U.normalize("NFD", c)
 
@@ -106,8 +119,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def fold_pieces(pieces: DataFrame) -> DataFrame:
     """``piece, form`` for the distinct values of ``piece``."""
     folds, whole = (F.broadcast(t) for t in _tables(pieces.sparkSession))
-    kept = F.regexp_replace("piece", rf"([{PICTURE}\x{{FE0F}}])\x{{200D}}(?=[{PICTURE}])", f"$1{JOINED}")
-    points = pieces.select("piece", F.posexplode(F.split(kept, "")).alias("at", "c")).where("c <> ''")
+    points = pieces.select("piece", F.posexplode(F.split("piece", "")).alias("at", "c")).where("c <> ''")
     found = points.join(folds, "c", "left").select(
         "piece",
         "at",
@@ -138,7 +150,6 @@ def fold_pieces(pieces: DataFrame) -> DataFrame:
     return (
         composed.groupBy("piece")
         .agg(F.expr("array_join(transform(sort_array(collect_list(struct(base, c))), x -> x.c), '')").alias("form"))
-        .select("piece", F.translate("form", JOINED, "\u200d").alias("form"))
     )
 
 
@@ -149,23 +160,25 @@ def fold(df: DataFrame, id_col: str, text_col: str, out: str = "folded") -> Data
     length is folded as a whole; ids need not be unique; other columns are not carried.
     """
     lines = F.regexp_replace(text_col, "\r\n?", "\n")
-    rows = df.select(id_col, text_col, lines.alias("_text"))
-    plain = F.col("_text").isNull() | F.col("_text").rlike(r"\A[\x00-\x7F]*\z")
-    mixed = rows.where(~plain).select(text_col, "_text").distinct()
-    pieces = mixed.select(text_col, F.posexplode(F.regexp_extract_all("_text", F.lit(PIECES), F.lit(0))).alias("at", "piece"))
+    rows = df.select(id_col, text_col, lines.alias("_text")).withColumn(
+        "_key", F.when(F.col("_text").rlike(r"[^\x00-\x7F]"), digest(F.col("_text")))
+    )
+    plain = F.col("_key").isNull()
+    # Pieces and forms travel under 16 bytes that stand for their text.
+    mixed = rows.where(~plain).dropDuplicates(["_key"])
+    kept = F.regexp_replace("_text", rf"([{PICTURE}\x{{FE0F}}])\x{{200D}}(?=[{PICTURE}])", f"$1{JOINED}")
+    pieces = mixed.select("_key", F.posexplode(F.regexp_extract_all(kept, F.lit(PIECES), F.lit(0))).alias("at", "piece"))
     special = F.col("piece").rlike(r"[^\x00-\x7F]")
     forms = fold_pieces(pieces.where(special).select("piece").distinct())
     joined = (
-        pieces.where(special).join(forms, "piece").select(text_col, "at", "form")
-        .unionByName(pieces.where(~special).select(text_col, "at", F.col("piece").alias("form")))
+        pieces.where(special).join(forms, "piece").select("_key", "at", "form")
+        .unionByName(pieces.where(~special).select("_key", "at", F.col("piece").alias("form")))
     )
-    rebuilt = joined.groupBy(text_col).agg(
+    rebuilt = joined.groupBy("_key").agg(
         F.expr("array_join(transform(sort_array(collect_list(struct(at, form))), x -> x.form), '')").alias(out)
-    )
-    return (
-        rows.where(plain).select(id_col, text_col, F.col("_text").alias(out))
-        .unionByName(rows.where(~plain).select(id_col, text_col).join(rebuilt, text_col).select(id_col, text_col, out))
-    )
+    ).withColumn(out, F.translate(out, JOINED, "\u200d"))
+    whole = spread_join(rows.where(~plain).select("_key", id_col, text_col), rebuilt, "_key", id_col)
+    return rows.where(plain).select(id_col, text_col, F.col("_text").alias(out)).unionByName(whole.select(id_col, text_col, out))
 
 
 def same_look(df: DataFrame, id_col: str, text_col: str, block: int = 4096) -> DataFrame:
@@ -182,11 +195,29 @@ def same_look(df: DataFrame, id_col: str, text_col: str, block: int = 4096) -> D
     keyed = cut(keyed.dropDuplicates(["id", "raw"]))
     # Equal texts are one class, so that many copies of a text meet only what differs from them.
     classes = keyed.select("look", "raw").distinct()
-    pairs = pairs_by_key(classes, "look", "raw", block)
+    pairs = pairs_by_key(classes, "look", "raw", block).select("a_raw", "b_raw")
+    first = spread_join(keyed.select(F.col("raw").alias("a_raw"), F.col("id").alias("x")), pairs, "a_raw", "x")
     return (
-        pairs.join(keyed.select(F.col("raw").alias("a_raw"), F.col("id").alias("x")), "a_raw")
-        .join(keyed.select(F.col("raw").alias("b_raw"), F.col("id").alias("y")), "b_raw")
+        spread_join(keyed.select(F.col("raw").alias("b_raw"), F.col("id").alias("y")), first, "b_raw", "y")
         .where("x <> y")
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         .distinct()
     )
+
+
+def looks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, look, links``: every row with a visible text, its form's digest, and how many rows look the same but differ.
+
+    The bounded form of ``same_look``: copies are counted, not expanded into pairs.
+    Rows with the same id and text are one.
+    """
+    keyed = cut(
+        fold(df, id_col, text_col)
+        .where(F.col("folded").rlike(r"(?U)[^\s]"))
+        .select(F.col(id_col).alias("id"), digest(F.col("folded")).alias("look"), digest(F.col(text_col)).alias("raw"))
+        .dropDuplicates(["id", "raw"])
+    )
+    texts = keyed.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("k"))
+    forms = texts.groupBy("look").agg(F.sum("k").alias("all"))
+    sizes = spread_join(texts, forms, "look", "raw").select("raw", (F.col("all") - F.col("k")).alias("links"))
+    return spread_join(keyed, sizes, "raw", "id").select("id", "look", "links")

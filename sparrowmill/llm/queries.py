@@ -117,10 +117,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p10_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fold.looks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.hex("look").alias("look"), "links")
+
+
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.fold(table(spark, sf_dir, "documents"), "doc_id", "text", "form").select("doc_id", "form")
 
 
 def queries() -> dict:
-    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_forms]
+    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_groups, p10_forms]
     return {f.__name__: f for f in own}

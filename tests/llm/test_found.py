@@ -221,6 +221,7 @@ def test_fold(spark):
         ("é", "é"), ("Å", "Å"), ("ｆｕｌｌ　１２", "full 12"), ("ﬁne ﬂow", "fine flow"), ("a​b﻿­c", "abc"),
         ("a b c d", "a b c d"), ("re‐do‑x", "re-do-x"), ("Аррlе", "Apple"), ("Ηeу", "Hey"), ("ё", "ë"),
         ("q̣̇", "q̣̇"), ("ệ", "ệ"), ("a\r\nb", "a\nb"), ("각", "각"), ("é" * 300, "é" * 300), ("x" + "👩‍🏫" * 70, "x" + "👩‍🏫" * 70), ("e​́", "é"), ("́x", "́x"),
+        ("𝐀ɑıᴏօոᎪꓮⲟѵⅠⅼ𝟏", "AaioonAAovIl1"), ("ｶﾞ" * 200, "ガ" * 200), ("a" + "\u0323\u0301" * 1500, "a" + "\u0323\u0301" * 1500), ("x" + "\u0301" * 1001 + "\u0323", "x\u0323" + "\u0301" * 1001),
     ]
     apart = [("É", "é"), ("e", "é"), ("2", "²"), ("a.", "a!"), ("a b", "a  b"), ("👩‍🏫", "👩🏫"), ("a\tb", "a b"), ("ß", "ss"), ("–", "-")]
     flat = [t for pair in same + apart for t in pair] + ["", None, "plain", "​", "x" * 20000 + "é" * 20000]
@@ -244,6 +245,32 @@ def test_same_look(spark):
         assert got == [(1, 2), (2, 3)]
 
 
+def test_a_long_text_of_many_pieces(spark):
+    text = "aé b" * 250_000
+    df = spark.createDataFrame([(1, text), (2, unicodedata.normalize("NFD", text)), (3, text + "."), (4, text)], "doc_id long, text string")
+    assert fold.fold(df, "doc_id", "text").where(F.length("folded") >= 1_000_000).count() == 4
+    assert sorted(tuple(r) for r in fold.same_look(df, "doc_id", "text").collect()) == [(1, 2), (2, 4)]
+
+
+def test_looks_counts_without_pairs(spark):
+    rows = [(1, "café"), (2, "cafe\u0301"), (3, "café"), (4, "cafe"), (5, None), (6, " "), (2, "cafe\u0301"), (7, "caf\u200bé")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("look", F.lit(1))
+    got = {r["id"]: (bytes(r["look"]), r["links"]) for r in fold.looks(df, "doc_id", "text").collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: 2, 2: 3, 3: 2, 4: 0, 7: 3}
+    assert len({got[k][0] for k in (1, 2, 3, 7)}) == 1 and got[4][0] != got[1][0]
+
+
+def test_spread_join_is_a_join(spark):
+    from sparrowmill.llm.common import spread_join
+
+    left = spark.createDataFrame([(k, "hot" if k % 3 else None if k % 2 else f"c{k}") for k in range(300)], "id long, key string")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("c6", 3), (None, 4)], "key string, v int")
+    for how in ("inner", "left"):
+        want = sorted(str(r) for r in left.join(right, "key", how).select("key", "id", "v").collect())
+        for least in (5, 4096):
+            assert sorted(str(r) for r in spread_join(left, right, "key", "id", how, least, 16).select("key", "id", "v").collect()) == want
+
+
 # --- very long texts ---------------------------------------------------------
 
 
