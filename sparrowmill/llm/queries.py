@@ -82,17 +82,23 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.split_report(components.assign(members, plans), plans)
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _overlaps(spark: SparkSession, sf_dir: str, coverage: bool = False) -> DataFrame:
     questions = table(spark, sf_dir, "questions")
-    return overlap.overlaps(questions, "id", "question", overlap.split_side(F.col("split")))
+    return overlap.overlaps(questions, "id", "question", overlap.split_side(F.col("split")), coverage=coverage)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).select("id_a", "id_b")
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = table(spark, sf_dir, "questions")
+    found = overlap.partners(questions, "id", "question", overlap.split_side(F.col("split")))
+    return found.select("id", F.hex("cls").alias("cls"), "links")
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.overlap_report(table(spark, sf_dir, "questions"), _overlaps(spark, sf_dir))
+    return overlap.overlap_report(table(spark, sf_dir, "questions"), _overlaps(spark, sf_dir, True))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +133,5 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_groups, p10_forms]
+    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_groups, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_groups, p10_forms]
     return {f.__name__: f for f in own}

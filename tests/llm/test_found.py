@@ -5,6 +5,7 @@ import re
 import unicodedata
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def brute(rows, threshold=0.7):
 
 
 @pytest.mark.parametrize("rare,block", [(1, 4), (2, 1000), (256, 3)])
-@pytest.mark.parametrize("threshold", [0.7, 0.9])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.9])
 def test_near_pairs_equal_brute_force(spark, rare, block, threshold):
     rows = [(f"q{i}", t) for i, t in enumerate(corpus())]
     df = spark.createDataFrame([*rows, *rows[:5], (None, "w1 w2 w3")], "id string, question string").withColumn("cls", F.lit(1))
@@ -71,6 +72,29 @@ def test_near_pairs_equal_brute_force(spark, rare, block, threshold):
     assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
 
 
+def test_columns_stay_in_proportion_to_the_words():
+    rng = np.random.default_rng(0)
+    for threshold in (0.5, 0.7, 0.9):
+        for n in (1, 2, 3, 10, 30, 47, 60, 300, 1000, 5000):
+            h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            row, key, place = near_pairs.grams(h, np.array([n]), np.full(near_pairs.BUCKETS, 10**6), 10**6, threshold, 256)
+            # A row emits for its own bound and, near the edge of one, for the next shorter columns.
+            assert 0 < len(key) <= 2 * near_pairs.COLUMNS * n and len(set(key.tolist())) == len(key)
+
+
+def test_near_pairs_of_frequent_words(spark):
+    import time
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [rng.sample(vocabulary, 300) for _ in range(150)]
+    texts += [t[:rng.randint(240, 300)] + rng.sample(vocabulary, 10) for t in texts[:60]]
+    rows = [(f"q{k:03}", " ".join(t)) for k, t in enumerate(texts)]
+    began = time.time()
+    got = {(r["id_a"], r["id_b"]) for r in near_pairs.near_pairs(spark.createDataFrame(rows, "id string, question string"), "id", "question", rare=1).collect()}
+    assert got == brute(rows) and len(got) >= 60 and time.time() - began < 60
+
+
 def test_near_pairs_of_short_texts(spark):
     rows = [("a", "x"), ("b", "x"), ("c", "x y"), ("d", "x y z"), ("e", "x y z v"), ("f", "y x"), ("g", "x " * 5000)]
     df = spark.createDataFrame(rows, "id string, question string")
@@ -133,7 +157,7 @@ def test_overlaps_equal_brute_force(spark):
     texts = corpus(120, 9)
     rows = [(f"q{i:03}", t, rng.choice(["Train ", "test", "VALIDATION", None, "other"])) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id string, question string, split string")
-    found = overlap.overlaps(df, "id", "question", overlap.split_side(F.col("split"))).collect()
+    found = overlap.overlaps(df, "id", "question", overlap.split_side(F.col("split")), coverage=True).collect()
     side = {i: {"train": 0, "test": 1, "validation": 1}.get((s or "").strip().lower()) for i, _, s in rows}
     text = {i: words(t) for i, t, _ in rows}
 
@@ -144,7 +168,35 @@ def test_overlaps_equal_brute_force(spark):
     got = {(r["id_a"], r["id_b"]) for r in found}
     # Pairs without a common run of five words are the stated exception.
     assert got <= want and {p for p in want if run(text[p[0]], text[p[1]]) or text[p[0]] == text[p[1]]} <= got
-    assert all(0 < r["coverage_a"] <= 1 for r in found)
+    assert all(0 < r["coverage_a"] <= 1 and 0 < r["coverage_b"] <= 1 for r in found)
+    for block in (3, 2048):
+        plain = overlap.overlaps(df, "id", "question", overlap.split_side(F.col("split")), block=block)
+        assert {(r["id_a"], r["id_b"]) for r in plain.collect()} == got and plain.count() == len(got)
+        exact = overlap.overlaps(df, "id", "question", overlap.split_side(F.col("split")), block=block, reordered=True)
+        assert sorted((r["id_a"], r["id_b"]) for r in exact.collect()) == sorted(want)
+
+
+def test_partners_count_the_pairs(spark):
+    texts = corpus(80, 11) * 2
+    rows = [(f"q{i:03}", t, ["train", "test", None, "Validation"][i % 4]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, question string, split string").withColumn("cls", F.lit(1))
+    side = overlap.split_side(F.col("split"))
+    want = {}
+    for r in overlap.overlaps(df, "id", "question", side).collect():
+        for end in (r["id_a"], r["id_b"]):
+            want[end] = want.get(end, 0) + 1
+    got = {r["id"]: r["links"] for r in overlap.partners(df, "id", "question", side).collect()}
+    assert {k: v for k, v in got.items() if v} == want and want
+    assert set(got) == {i for i, t, s in rows if s and words(t)}
+
+
+def test_reordered_overlaps(spark):
+    a = " ".join(f"w{k}" for k in range(40))
+    b, c = " ".join(f"w{k * 7 % 40}" for k in range(40)), " ".join(f"w{k}" + (f" x{k}" if k % 4 == 3 else "") for k in range(40))
+    df = spark.createDataFrame([("a", a, "train"), ("b", b, "test"), ("c", c, "test")], "id string, question string, split string")
+    side = overlap.split_side(F.col("split"))
+    assert overlap.overlaps(df, "id", "question", side).count() == 0
+    assert {r["id_b"] for r in overlap.overlaps(df, "id", "question", side, coverage=True, reordered=True).collect()} == {"b", "c"}
 
 
 def test_alignment():
