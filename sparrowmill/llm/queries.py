@@ -114,6 +114,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return leak.leaks(documents, "doc_id", "text", items, "item_id", "text", max_edits=1)
+
+
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_items(_leaks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "doc_id")
 
@@ -133,5 +138,5 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_groups, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_items, p10_found, p10_groups, p10_forms]
+    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_groups, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_near, p9_items, p10_found, p10_groups, p10_forms]
     return {f.__name__: f for f in own}

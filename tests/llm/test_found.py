@@ -251,18 +251,45 @@ def test_leaks_equal_brute_force(spark):
     assert report == {1: 2, 2: 0, 3: 1}
 
 
-def test_leaks_with_edits_reach_their_recall(spark):
+@pytest.mark.parametrize("edits,wanted", [(1, 0.95), (2, 0.9)])
+def test_leaks_with_edits_reach_their_recall(spark, edits, wanted):
     rng = random.Random(2)
-    items, docs = [], []
-    for k in range(60):
-        item = [f"w{rng.randrange(500)}" for _ in range(12)]
-        copy = list(item)
-        copy[rng.randrange(12)] = "changed"
+    items, docs, far = [], [], []
+    for k in range(300):
+        item = [f"w{rng.randrange(5000)}" for _ in range(12)]
+
+        def change(count, item=item):
+            copy = list(item)
+            for _ in range(count):
+                at, kind = rng.randrange(len(copy)), rng.choice(["change", "insert", "leave out"])
+                copy[at : at + (kind != "insert")] = [] if kind == "leave out" else [f"new{rng.randrange(10**9)}"]
+            return " ".join(copy)
+
         items.append((k, " ".join(item)))
-        docs.append((k, "before " + " ".join(copy) + " after"))
-    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {tuple(r) for r in leak.leaks(d, "doc_id", "text", i, "item_id", "text", max_edits=1).collect()}
-    assert got <= {(k, k) for k in range(60)} and len(got) >= 0.9 * 60
+        docs.append((k, f"before {k} it " + change(edits) + f" and {k} after it come other words than those"))
+        # Six words of another place in the middle: no passage is near.
+        far.append((1000 + k, " ".join(item[:3] + [f"x{k}y{n}" for n in range(6)] + item[9:])))
+    d, i = spark.createDataFrame(docs + far, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in leak.leaks(d, "doc_id", "text", i, "item_id", "text", max_edits=edits, recall=wanted).collect()}
+    assert got <= {(k, k) for k in range(300)} and len(got) >= (wanted - 0.03) * 300
+
+
+def test_distances_equal_the_plain_recursion():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        a, b = rng.integers(0, 4, 6), rng.integers(0, 4, 9)
+
+        def distance(x, y):
+            row = list(range(len(y) + 1))
+            for i, u in enumerate(x, 1):
+                new = [i]
+                for j, v in enumerate(y, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (u != v)))
+                row = new
+            return row[-1]
+
+        best = min(distance(a, b[p:q]) for p in range(10) for q in range(p, 10))
+        assert leak.distances(a[None], b[None])[0] == best
 
 
 # --- 10 --------------------------------------------------------------------
