@@ -17,23 +17,25 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs.near_groups(table(spark, sf_dir, "questions"), "id", "question", 0.7)
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = [table(spark, sf_dir, name) for name in ("questions", "anchor_questions")]
-    return defects.classify(table(spark, sf_dir, "responses"), *asked)
+    return defects.settled(components.cut(defects.classify(table(spark, sf_dir, "responses"), *asked)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).where("defect IS NOT NULL").select("rec_id", "defect")
+    return _settled(spark, sf_dir).where("defect IS NOT NULL").select("rec_id", "defect")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defect_report(_settled(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = defects.truncated(components.cut(_classified(spark, sf_dir)))
-    return found.where("posterior > 0.5").select("rec_id")
+    return defects.truncated(_settled(spark, sf_dir))
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classified = components.cut(_classified(spark, sf_dir))
-    return defects.truncation_report(classified, defects.truncated(classified).where("posterior > 0.5"))
+    return defects.truncation_report(_settled(spark, sf_dir))
 
 
 def _allocated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -138,5 +140,5 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_groups, p2_found, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_groups, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_near, p9_items, p10_found, p10_groups, p10_forms]
+    own = [p1_found, p1_groups, p2_found, p2_report, p3_sample, p3_report, p4_subset, p5_found, p5_splits, p5_report, p6_found, p6_groups, p6_report, p7_found, p7_report, p8_ids, p9_found, p9_near, p9_items, p10_found, p10_groups, p10_forms]
     return {f.__name__: f for f in own}

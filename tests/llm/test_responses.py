@@ -43,7 +43,7 @@ def tables(spark):
 
 
 def test_defects(spark, tables):
-    got = {r["rec_id"]: r["defect"] for r in defects.classify(*tables).collect()}
+    got = {r["rec_id"]: r["defect"] for r in defects.settled(defects.cut(defects.classify(*tables))).collect()}
     assert len(got) == len(RESPONSES) + 4
     wrong = [(t, d, got[k]) for k, (t, d) in enumerate(RESPONSES) if got[k] != d]
     assert not wrong
@@ -55,7 +55,7 @@ def test_long_responses(spark, tables):
     texts = [(1, " " * 300_000), (2, "a" + " " * 300_000 + "b."), (3, "-" * 300_000), (4, "-" * 300_000 + "a"), (5, "word " * 100_000 + "end."), (6, "<think>" * 50_000)]
     rows = [(k, "q1", "m", "r", 1, t) for k, t in texts]
     responses = spark.createDataFrame(rows, "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string")
-    got = {r["rec_id"]: r["defect"] for r in defects.classify(responses, tables[1]).collect()}
+    got = {r["rec_id"]: r["defect"] for r in defects.settled(defects.cut(defects.classify(responses, tables[1]))).collect()}
     assert got == {1: "empty", 2: None, 3: "empty", 4: "truncated", 5: None, 6: "truncated"}
 
 
@@ -69,15 +69,60 @@ def test_recurring_templates_without_an_answer_are_refusals(spark):
     assert {got[k] for k in range(30)} == {"refusal"} and {got[100 + k] for k in range(60)} == {None}
 
 
+def test_templates_count_prompts_not_rows(spark):
+    kind = "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string"
+    questions = spark.createDataFrame([], "id string, question string, choices struct<label: array<string>, text: array<string>>")
+    answered = [(100 + k, f"q{k}", "m", "r", 9, f"First we list facts about item {k}, then we add them.\nFINAL ANSWER: A") for k in range(400)]
+    # A few rows over as many prompts are enough; many rows of one prompt are not.
+    few = [(k, f"q{k}", "m", "r", 9, "Kindly consult the nearest office for matters of this kind.") for k in range(8)]
+    one = [(10 + k, "q1" if k else "q2", "m", "r", 9, "Please see the leaflet that came with the parcel.") for k in range(31)]
+    # Two templates with one band key in common have leaders of their own.
+    long = [(50 + k, f"q{k}", "m", "r", 9, "Kindly consult the nearest office for matters of " + "every other sort " * 30 + ".") for k in range(8)]
+    rows = spark.createDataFrame(answered + few + one + long, kind)
+    got = {r["rec_id"]: (r["defect"], r["found_by"]) for r in defects.classify(rows, questions).collect()}
+    assert {got[k] for k in [*range(8), *range(50, 58)]} == {("refusal", "cluster")}
+    assert {got[k] for k in [*range(10, 41), *range(100, 500)]} == {(None, None)}
+
+
+def test_long_and_late_refusals(spark, tables):
+    texts = [STEP + " " + "The zinc stays where it is. " * 30 + "I'm sorry, but I can't help with this question.", "I cannot provide an answer here. " + "It is a matter of zinc and coral. " * 12]
+    assert len(texts[0]) > 400 and len(texts[1].split()) > 61
+    rows = [(k, "q1", "m", "r", 1, t) for k, t in enumerate(texts)]
+    got = defects.classify(spark.createDataFrame(rows, "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string"), tables[1])
+    assert [(r["defect"], r["found_by"]) for r in got.collect()] == [("refusal", "phrase")] * 2
+
+
+def test_copies_of_short_questions_and_with_a_tail(spark, tables):
+    kind = "id string, question string, choices struct<label: array<string>, text: array<string>>"
+    questions = tables[1].unionByName(spark.createDataFrame([("short", "Why zinc?", None)], kind))
+    rows = [(0, "short", "Why zinc?"), (1, "short", "Why zinc is rare?"), (2, "q1", QUESTION + " (one answer only)"), (3, "q1", "Question: " + QUESTION[:-12])]
+    rows = [(k, i, "m", "r", 1, t) for k, i, t in rows]
+    got = defects.settled(defects.cut(defects.classify(spark.createDataFrame(rows, "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string"), questions)))
+    assert {r["rec_id"]: r["defect"] for r in got.collect()} == {0: "copy", 1: None, 2: "copy", 3: "truncated"}
+
+
+def test_the_length_decides_open_endings(spark, tables):
+    rows = [(k, "q1", "m", "r", 20 + k % 60, STEP + "\nFINAL ANSWER: B") for k in range(600)]
+    rows += [(2000 + k, "q1", "m", "r", 90, STEP + " Next, compare Peris with the gard") for k in range(150)]
+    rows += [(1300, "q1", "m", "r", 90, STEP + " The rate is 43."), (1301, "q1", "m", "r", 40, STEP + " The rate is 43."), (1302, "q1", "m", "r", 90, STEP + " Here (again)"), (1303, "q1", "m", "r", 40, STEP + " Here (again)")]
+    responses = spark.createDataFrame(rows, "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string")
+    classified = defects.cut(defects.classify(responses, tables[1]))
+    got = {r["rec_id"]: r["defect"] for r in defects.settled(classified).collect()}
+    # Equal endings, told apart by the fitted limit alone.
+    assert [got[k] for k in (1300, 1301, 1302, 1303)] == ["truncated", None, "truncated", None]
+    assert {got[k] for k in range(600)} == {None} and {got[2000 + k] for k in range(150)} == {"truncated"}
+
+
 def test_truncated_and_report(spark, tables):
     classified = defects.cut(defects.classify(*tables))
-    found = defects.truncated(classified).where("posterior > 0.5")
-    want = {r["rec_id"] for r in classified.where("defect = 'truncated'").collect()}
-    assert {r["rec_id"] for r in found.collect()} == want
-    report = defects.truncation_report(classified, found)
-    assert report.agg(F.sum("responses"), F.sum("truncated")).first()[:] == (classified.count(), len(want))
+    settled = defects.cut(defects.settled(classified))
+    assert settled.count() == classified.count()
+    found = defects.truncated(settled)
+    report = defects.truncation_report(settled)
+    assert report.agg(F.sum("responses"), F.sum("truncated")).first()[:] == (classified.count(), found.count())
+    assert {r["defect"] for r in defects.defect_report(settled).collect()} == {"empty", "truncated", "copy", "refusal", "other_language"}
     empty = classified.limit(0)
-    assert defects.truncated(empty).count() == 0 and defects.truncation_report(empty, found).count() == 0
+    assert defects.settled(empty).count() == 0 and defects.truncation_report(settled.limit(0)).count() == 0
 
 
 def test_censored_fit_finds_the_parameters():
