@@ -65,8 +65,8 @@ def latent(
     return rows.mapInPandas(project, f"`{key}` {kind}, vector array<double>")
 
 
-def kmeans(df: DataFrame, key: str, vector: str, k: int = 25, seed: int = SEED) -> DataFrame:
-    """``key, cluster`` of dense vectors."""
-    rows = df.select(key, array_to_vector(vector).alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-    return model.transform(rows).select(key, "cluster")
+def kmeans(df: DataFrame, key: str, vector: str, k: int = 25, seed: int = SEED, starts: int = 3) -> DataFrame:
+    """``key, cluster`` of dense vectors: of ``starts`` seeded starts the one with the least cost."""
+    rows = materialised(df.select(key, array_to_vector(vector).alias("features")))
+    fits = [KMeans(k=k, seed=seed + n, featuresCol="features", predictionCol="cluster").fit(rows) for n in range(starts)]
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(rows).select(key, "cluster")

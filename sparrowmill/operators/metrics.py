@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -125,5 +129,26 @@ def accuracy_interval(records: DataFrame) -> DataFrame:
     )
 
 
+def accuracy_bootstrap(records: DataFrame, draws: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Accuracy by dataset and model with its bootstrap interval (percentiles over ``draws`` resamples).
+
+    The correct rows of a resample are binomial in the rows and the accuracy, so only the counts of each group are resampled.
+    """
+    counts = _keyed(records, ["dataset", "model"]).groupBy("dataset", "model").agg(F.count("correct").alias("n"), F.count_if("correct").alias("k"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[["dataset", "model", "n"]].copy()
+            out["accuracy"], out["low"], out["high"] = None, None, None
+            for row in pdf.index[pdf.n > 0]:
+                n, k = int(pdf.n[row]), int(pdf.k[row])
+                means = np.random.default_rng(seed).binomial(n, k / n, draws) / n
+                ends = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+                out.loc[row, ["accuracy", "low", "high"]] = [round(k / n, 3), *(round(float(e), 3) for e in ends)]
+            yield out.astype({c: float for c in ("accuracy", "low", "high")})
+
+    return counts.mapInPandas(run, "dataset string, model string, n long, accuracy double, low double, high double")
+
+
 def any_mock(records: DataFrame) -> DataFrame:
     return records.agg(F.coalesce(F.bool_or("mock"), F.lit(False)).alias("any_mock"))

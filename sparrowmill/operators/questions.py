@@ -6,18 +6,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import split_name, stripped
 from ..schemas import REQUIRED
+from .sampling import numbered
 
 
 def canonical(questions: DataFrame) -> DataFrame:
     """One row an id, all columns as strings, split names in one spelling, ``n_choices`` counted.
 
-    A null question counts as an empty one; rows delivered twice are one.
+    A null question counts as an empty one; rows delivered twice are one; ``context`` is kept where there is one.
     """
     text = lambda a: F.transform(a, lambda x: x.cast("string"))
+    kept = ["context"] if "context" in questions.columns else []
     return questions.dropDuplicates(["id"]).select(
         F.col("id").cast("string").alias("id"),
         "dataset",
@@ -26,6 +27,7 @@ def canonical(questions: DataFrame) -> DataFrame:
         F.struct(text("choices.label").alias("label"), text("choices.text").alias("text")).alias("choices"),
         F.col("answerKey").cast("string").alias("answerKey"),
         "subject",
+        *kept,
         F.coalesce(F.size("choices.text"), F.lit(0)).alias("n_choices"),
     )
 
@@ -37,9 +39,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def from_stems(raw: DataFrame, dataset: str, order: str) -> DataFrame:
     """A table of question stems: ids are numbered within each split from 0 by ``order``."""
-    number = F.row_number().over(W.partitionBy("split").orderBy(order)) - 1
-    return raw.select(
-        F.format_string(f"{dataset}_%s_%05d", F.col("split"), number).alias("id"),
+    return numbered(raw, ["split"], [F.col(order)]).select(
+        F.format_string(f"{dataset}_%s_%05d", F.col("split"), F.col("_rank") - 1).alias("id"),
         F.col("question_stem").alias("question"),
         "choices",
         "answerKey",
@@ -53,10 +54,9 @@ def from_passages(raw: DataFrame, dataset: str, order: str, letters: str = "ABCD
     ``flags`` maps boolean columns to the parts of the subject's label.
     """
     labels = F.array(*map(F.lit, letters))
-    number = F.row_number().over(W.partitionBy("split").orderBy(order)) - 1
     context = stripped(F.col("text"))
-    return raw.select(
-        F.format_string(f"{dataset}_%s_%05d", F.col("split"), number).alias("id"),
+    return numbered(raw, ["split"], [F.col(order)]).select(
+        F.format_string(f"{dataset}_%s_%05d", F.col("split"), F.col("_rank") - 1).alias("id"),
         F.concat(context, F.lit("\n\n"), F.col("question")).alias("question"),
         F.struct(labels.alias("label"), F.col("options").alias("text")).alias("choices"),
         F.try_element_at(labels, F.col("answer") + 1).alias("answerKey"),

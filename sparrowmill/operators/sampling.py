@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import seeded
+from ..session import materialised
 
 SEED = 42
 
@@ -51,10 +52,25 @@ def stratified(df: DataFrame, n: int, stratum: str = "subject", floor: int = 1,
     return final.select(*df.columns)
 
 
+def numbered(df: DataFrame, groups: list[str], order: list, out: str = "_rank") -> DataFrame:
+    """``df`` with ``out``: the place of each row in its group, from 1.
+
+    Rows are parted by ranges of the group and the order, so that a group is spread over many tasks; a place is the
+    number of rows in the group's earlier parts and the place within the own one.
+    """
+    keys = [f"_o{k}" for k in range(len(order))]
+    placed = df.withColumns(dict(zip(keys, (o if not isinstance(o, str) else F.col(o) for o in order))))
+    placed = materialised(placed.repartitionByRange(*groups, *keys).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*groups).orderBy("_part")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(W.partitionBy(*groups, "_part").orderBy(*keys))
+    met = placed.alias("p").join(before.alias("b"), [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*groups, "_part"]])
+    return met.select("p.*", "_before").withColumn(out, F.col("_before") + own).drop("_part", "_before", *keys)
+
+
 def halves(df: DataFrame, groups: list[str], seed: int = SEED, key: str = "id") -> DataFrame:
     """``df`` with ``half`` 0 or 1: a random half of each group, rounded down, is 0."""
-    rank = F.row_number().over(W.partitionBy(*groups).orderBy(seeded(seed, F.col(key)), key))
     count = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    return df.withColumn("_rank", rank).join(count, groups).withColumn(
+    return numbered(df, groups, [seeded(seed, F.col(key)), F.col(key)]).join(count, groups).withColumn(
         "half", (F.col("_rank") > F.floor(F.col("_n") / 2)).cast("int")
     ).drop("_rank", "_n")

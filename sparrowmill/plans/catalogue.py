@@ -59,13 +59,15 @@ FLAGS = ("categorical", "sufficient", "necessry", "disjunctive", "conjunctive")
 
 def _passages(spark, d):
     raw = base(spark, d).where("dataset = 'logiqa2' AND split IS NOT NULL")
+    # The passage stands in a column of its own or before the first blank line.
+    at = F.instr("question", "\n\n")
     s = F.lower(F.coalesce("subject", F.lit("")))
     return raw.select(
         "split",
         F.col("id").alias("key"),
         F.coalesce("answerKey", F.lit("")).alias("_a"),
-        F.substring("question", 1, 120).alias("text"),
-        F.substring("question", 121, 100000).alias("question"),
+        F.coalesce("context", F.when(at > 0, F.left("question", at - 1)), F.lit("")).alias("text"),
+        F.when(at > 0, F.substring("question", at + 2, F.length("question"))).otherwise(F.col("question")).alias("question"),
         F.col("choices.text").alias("options"),
         F.nullif(F.instr(F.lit("ABCD"), F.coalesce("answerKey", F.lit("?"))), F.lit(0)).alias("_i"),
         *(s.contains(f).alias(f) for f in FLAGS),
@@ -177,7 +179,7 @@ def mock_run_records(spark, d):
 
 def extract_answers(spark, d):
     asked = _asked(spark, d).select("id", "choices")
-    rows = table(spark, d, "responses").select("rec_id", "id", "raw_response").join(asked, "id")
+    rows = table(spark, d, "responses").select("rec_id", "id", "raw_response").join(asked, "id", "left")
     found = rows.select("rec_id", extract(F.col("raw_response"), F.col("choices.label"), F.col("choices.text")).alias("x"))
     return found.select("rec_id", F.col("x.pred").alias("pred"), F.col("x.method").alias("method"))
 
@@ -240,26 +242,16 @@ def any_mock(spark, d):
 
 
 def resume_todo(spark, d):
-    work = runner.work_list(base(spark, d), table(spark, d, "model_registry"))
-    return runner.todo(work, _records(spark, d), limit=250).select("model", "dataset", "split", "id")
-
-
-def plan_cost(spark, d):
-    return runner.plan_cost(base(spark, d), table(spark, d, "model_registry"), limit=1250)
-
-
-def resume_todo_full(spark, d):
     work = runner.work_list(base(spark, d), table(spark, d, "model_registry"))
     return runner.todo(work, _records(spark, d)).select("model", "dataset", "split", "id")
 
 
-def plan_cost_full(spark, d):
+def plan_cost(spark, d):
     return runner.plan_cost(base(spark, d), table(spark, d, "model_registry"))
 
 
 def tfidf_weights(spark, d):
-    drawn = sampling.uniform(base(spark, d), ["dataset"], 300)
-    w = S.tfidf(drawn, "id", F.col("question"), [])
+    w = S.tfidf(base(spark, d), "id", F.col("question"), [])
     return w.select("id", "term", F.bround("w", 6).alias("w"))
 
 
@@ -327,7 +319,7 @@ QUERIES = [
     uniform_sample, half_split, stratified_train_sample, group_split, antileak_test_candidates, frozen_splits, split_manifest,
     split_disjointness, prompt_render, mock_responses, mock_run_records, extract_answers, normal_values, string_functions,
     run_metrics, run_metrics_full, accuracy_by_length_quartile, prediction_bias, extraction_method_share, latency_box,
-    reasoning_histogram, accuracy_interval, any_mock, resume_todo, plan_cost, resume_todo_full, plan_cost_full, tfidf_weights, retrieval_top1, retrieval_top5,
+    reasoning_histogram, accuracy_interval, any_mock, resume_todo, plan_cost, tfidf_weights, retrieval_top1, retrieval_top5,
     retrieval_report, tfidf_cohesion, embedding_cosine_top1, embedding_cohesion, impact_score, svd_cohesion, cluster_quota_sample,
 ]
 

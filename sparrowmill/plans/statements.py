@@ -78,11 +78,14 @@ def terms(source: str) -> str:
 
 
 DRAWN = f"{B}, drawn AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {SEED.format('id')}, id) <= 300)"
-TFIDF = f"""{DRAWN},
-tc AS {terms('drawn')},
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM drawn)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term ORDER BY sum(n) DESC, term LIMIT 20000),
+def weights(source: str) -> str:
+    return f"""tc AS {terms(source)},
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM {source})) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term ORDER BY sum(n) DESC, term LIMIT 20000),
 raw AS (SELECT dataset, id, term, (1 + ln(n)) * idf AS w FROM tc JOIN idf USING (term)),
 w AS (SELECT dataset, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw)"""
+
+
+TFIDF = f"{DRAWN}, {weights('drawn')}"
 COHESION = """
 s AS (SELECT dataset, term, sum(w) AS s FROM w GROUP BY ALL), z AS (SELECT dataset, count(DISTINCT id) AS n FROM w GROUP BY ALL),
 dots AS (SELECT x.dataset AS a, y.dataset AS b, sum(x.s * y.s) AS dot FROM s x JOIN s y USING (term) GROUP BY ALL),
@@ -151,17 +154,18 @@ _before, _rest = TEMPLATE.split("{question}")
 _between, _after = _rest.split("{options}")
 PROMPT = f"{quoted(_before)} || question || {quoted(_between)} || {LINES} || {quoted(_after)}"
 MOCK = f"""{B}, m0 AS (SELECT alias AS model, hf_id, b.*, {digits("alias || '|' || id", 29100)} AS h FROM b CROSS JOIN model_registry WHERE split = 'test'),
-m1 AS (SELECT *, 'Step 1: mock reasoning. Step 2: more mock steps (' || (h % 97) || ' tokens).' ||
+m1 AS (SELECT *, 'This answer is made up for a trial run, without a look at the question (' || (h % 97) || ').' ||
   CASE WHEN h % 10 <> 0 AND len(choices.label) > 0 AND choices.label[h % len(choices.label) + 1] IS NOT NULL THEN chr(10) || 'FINAL ANSWER: ' || choices.label[h % len(choices.label) + 1]
-  ELSE chr(10) || '(no final line - simulated failure)' END AS raw FROM m0)"""
+  ELSE chr(10) || 'The last line is left out on purpose.' END AS raw FROM m0)"""
 
 R = "r AS (SELECT * REPLACE (lower(trim(split)) AS split) FROM responses)"
 K = "model IS NOT NULL AND dataset IS NOT NULL AND split IS NOT NULL"
 RATE = "round_even(avg(correct::INT), 3) AS accuracy, round_even(1 - avg(valid::INT), 3) AS invalid, round_even(avg(strict_format::INT), 3) AS strict, round_even(avg(wall_time_s), 3) AS mean_latency_s"
-PASSAGES = f"""{B}, p AS (SELECT split, id AS key, left(question, 120) AS text, substr(question, 121) AS question, nullif(strpos('ABCD', coalesce(answerKey, '?')), 0) AS i,
+PASSAGES = f"""{B}, x AS (SELECT id, any_value(context) AS context FROM questions GROUP BY id), p AS (SELECT split, id AS key, coalesce(context, CASE WHEN strpos(question, chr(10) || chr(10)) > 0 THEN left(question, strpos(question, chr(10) || chr(10)) - 1) END, '') AS text,
+  CASE WHEN strpos(question, chr(10) || chr(10)) > 0 THEN substr(question, strpos(question, chr(10) || chr(10)) + 2) ELSE question END AS question, nullif(strpos('ABCD', coalesce(answerKey, '?')), 0) AS i,
   coalesce(nullif(array_to_string(list_filter([CASE WHEN contains(s, 'categorical') THEN 'categorical' END, CASE WHEN contains(s, 'sufficient') THEN 'sufficient' END, CASE WHEN contains(s, 'necessry') THEN 'necessry' END,
     CASE WHEN contains(s, 'disjunctive') THEN 'disjunctive' END, CASE WHEN contains(s, 'conjunctive') THEN 'conjunctive' END], lambda x: x IS NOT NULL), '+'), ''), 'unspecified') AS label
-  FROM (SELECT *, lower(coalesce(subject, '')) AS s FROM b) WHERE dataset = 'logiqa2' AND split IS NOT NULL)"""
+  FROM (SELECT *, lower(coalesce(subject, '')) AS s FROM b LEFT JOIN x USING (id)) WHERE dataset = 'logiqa2' AND split IS NOT NULL)"""
 STRIP = f"regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 STATEMENTS = {
@@ -218,7 +222,7 @@ STATEMENTS = {
         SELECT key.m AS model, key.i AS id, key.g AS gold, pred, pred IS NOT NULL AS valid, method AS extraction_method, coalesce(method = 'final_answer', false) AS strict_format,
         pred IS NOT DISTINCT FROM key.g AS correct, true AS mock FROM ex""",
     "extract_answers": f"""WITH b AS (SELECT DISTINCT ON (id) id, choices FROM (SELECT id, choices FROM questions UNION ALL SELECT id, choices FROM anchor_questions) ORDER BY id),
-        src AS (SELECT rec_id AS key, {UPPER} AS labels, choices.text AS texts, raw_response AS raw FROM responses JOIN b USING (id)), {EXTRACT} SELECT key AS rec_id, pred, method FROM ex""",
+        src AS (SELECT rec_id AS key, {UPPER} AS labels, choices.text AS texts, raw_response AS raw FROM responses LEFT JOIN b USING (id)), {EXTRACT} SELECT key AS rec_id, pred, method FROM ex""",
     "normal_values": f"WITH {B}, t AS (SELECT DISTINCT unnest(choices.text) AS value FROM b) SELECT value, {norm_value('value')} AS norm FROM t WHERE value IS NOT NULL",
     "string_functions": f"""WITH {B}, t AS (SELECT *, {TOKENS.format('question')} AS bag FROM b)
         SELECT id, regexp_replace(regexp_replace(lower(dataset || ' ' || question), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, left(question, 200) AS prefix, right(question, 200) AS tail,
@@ -242,15 +246,11 @@ STATEMENTS = {
     "accuracy_interval": """WITH p AS (SELECT dataset, model, count(correct) AS n, avg(correct::INT) AS p FROM responses WHERE dataset IS NOT NULL AND model IS NOT NULL GROUP BY ALL)
         SELECT dataset, model, n, round_even(p, 3) AS accuracy, round_even(p - 1.96 * sqrt(p * (1 - p) / nullif(n, 0)), 3) AS low, round_even(p + 1.96 * sqrt(p * (1 - p) / nullif(n, 0)), 3) AS high FROM p""",
     "any_mock": "SELECT coalesce(bool_or(mock), false) AS any_mock FROM responses",
-    "resume_todo": f"""WITH {B}, {R}, w AS (SELECT alias AS model, dataset, split, id FROM b CROSS JOIN model_registry QUALIFY row_number() OVER (PARTITION BY alias, dataset, split ORDER BY id) <= 250)
-        SELECT model, dataset, split, id FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.model = w.model AND r.dataset = w.dataset AND r.split = w.split AND r.id = w.id)""",
-    "plan_cost": f"""WITH {B}, c AS (SELECT dataset, split, least(1250, count(*)) * (SELECT count(*) FROM model_registry) AS calls FROM b GROUP BY ALL)
-        SELECT dataset, split, calls, round_even(calls * 2.0::DOUBLE / 3600, 3) AS hours_low, round_even(calls * 15.0::DOUBLE / 3600, 3) AS hours_high FROM c""",
-    "resume_todo_full": f"""WITH {B}, {R} SELECT alias AS model, dataset, split, id FROM b CROSS JOIN model_registry
+    "resume_todo": f"""WITH {B}, {R} SELECT alias AS model, dataset, split, id FROM b CROSS JOIN model_registry
         WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.model = alias AND r.dataset = b.dataset AND r.split = b.split AND r.id = b.id)""",
-    "plan_cost_full": f"""WITH {B}, c AS (SELECT dataset, split, count(*) * (SELECT count(*) FROM model_registry) AS calls FROM b GROUP BY ALL)
+    "plan_cost": f"""WITH {B}, c AS (SELECT dataset, split, count(*) * (SELECT count(*) FROM model_registry) AS calls FROM b GROUP BY ALL)
         SELECT dataset, split, calls, round_even(calls * 2.0::DOUBLE / 3600, 3) AS hours_low, round_even(calls * 15.0::DOUBLE / 3600, 3) AS hours_high FROM c""",
-    "tfidf_weights": f"WITH {TFIDF} SELECT id, term, round_even(w, 6) AS w FROM w",
+    "tfidf_weights": f"WITH {B}, {weights('b')} SELECT id, term, round_even(w, 6) AS w FROM w",
     "retrieval_top1": f"WITH {RETRIEVAL} SELECT dataset, id, top1 FROM top",
     "retrieval_top5": f"WITH {RETRIEVAL} SELECT dataset, id, top_k_mean FROM top",
     "retrieval_report": f"WITH {RETRIEVAL} SELECT * FROM rep",

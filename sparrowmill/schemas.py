@@ -26,19 +26,29 @@ SPLIT = (
     .add("subject", T.StringType())
 )
 
-#: One inference record. The three durations come only from some backends.
-_KINDS = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "double": T.DoubleType()}
-RECORD = T.StructType(
-    [
-        T.StructField(name, _KINDS[kind])
-        for name, kind in (
-            pair.split()
-            for pair in (
-                "id string, dataset string, split string, model string, hf_model string, mock boolean, prompt_sha string, "
-                "seed int, gold string, pred string, valid boolean, extraction_method string, strict_format boolean, "
-                "correct boolean, ts string, raw_response string, wall_time_s double, prompt_tokens int, gen_tokens int, "
-                "gen_duration_s double, total_duration_s double, load_duration_s double"
-            ).split(", ")
-        )
-    ]
+# The names of an inference record. The three durations come only from some backends.
+RECORD = (
+    T.StructType()
+    .add("id", T.StringType())
+    .add("dataset", T.StringType())
+    .add("split", T.StringType())
+    .add("model", T.StringType())
+    .add("hf_model", T.StringType())
+    .add("mock", T.BooleanType())
+    .add("prompt_sha", T.StringType())
+    .add("seed", T.IntegerType())
+    .add("gold", T.StringType())
+    .add("pred", T.StringType())
+    .add("valid", T.BooleanType())
+    .add("extraction_method", T.StringType())
+    .add("strict_format", T.BooleanType())
+    .add("correct", T.BooleanType())
+    .add("ts", T.StringType())
+    .add("raw_response", T.StringType())
+    .add("wall_time_s", T.DoubleType())
+    .add("prompt_tokens", T.IntegerType())
+    .add("gen_tokens", T.IntegerType())
+    .add("gen_duration_s", T.DoubleType())
+    .add("total_duration_s", T.DoubleType())
+    .add("load_duration_s", T.DoubleType())
 )

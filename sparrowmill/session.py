@@ -24,9 +24,12 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder that the cluster shares, and read from there.
 
-    A folder of this machine is used only where ``spark.checkpoint.dir`` is not set.
+    Where ``spark.checkpoint.dir`` is not set, a folder of this machine is used in local mode, and a cluster raises.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

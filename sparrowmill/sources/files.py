@@ -70,6 +70,33 @@ def append_records(records: DataFrame, folder: str) -> None:
     keyed.write.mode("append").option("ignoreNullFields", False).partitionBy("_m", "_d", "_s").json(folder)
 
 
+def append_run(records: DataFrame, folder: str, model: str, dataset: str, split: str) -> None:
+    """Append the records of one run as JSON lines under the run's published name (a folder of line files)."""
+    if "ts" not in records.columns:
+        records = records.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    records.write.mode("append").option("ignoreNullFields", False).json(f"{folder}/{record_file(model, dataset, split)}")
+
+
+def fetch_missing(spark: SparkSession, sources: dict[str, str], folder: str, present: str = "train.parquet") -> list[str]:
+    """Copy each named source folder below ``folder`` unless its ``present`` file is there; the names that were copied.
+
+    A copy is made under another name and then renamed, so that one broken off is not taken for whole.
+    """
+    made = []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    util = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+    for name, source in sources.items():
+        if exists(spark, f"{folder}/{name}/{present}"):
+            continue
+        (there, at), (here, part), (_, whole) = _fs(spark, source), _fs(spark, f"{folder}/_{name}.part"), _fs(spark, f"{folder}/{name}")
+        here.delete(part, True)
+        util.copy(there, at, here, part, False, True, conf)
+        here.delete(whole, True)
+        here.rename(part, whole)
+        made.append(name)
+    return made
+
+
 def write_splits(splits: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """Frozen splits, partitioned by dataset and split; existing ones are kept unless ``mode`` is overwrite."""
     splits.write.mode(mode).partitionBy("dataset", "split").parquet(folder)
@@ -151,7 +178,7 @@ def record_file(model: str, dataset: str, split: str) -> str:
     """The name of a run's file in the flat layout."""
     import re
 
-    return f"{re.sub('[^a-z0-9]+', '_', model.lower()).strip('_')}__{dataset}__{split}.jsonl"
+    return f"{re.sub('[^a-z0-9]+', '_', (model or '').lower()).strip('_')}__{dataset}__{split}.jsonl"
 
 
 def results_root(folder: str, mock: bool) -> str:

@@ -23,7 +23,7 @@ def found(spark, response, labels="ABCDE", texts=("12", "15", "18", "21", "25"))
 
 
 @pytest.mark.parametrize("response,pred", CASES)
-def test_published_cases(spark, response, pred):
+def test_cases_of_the_selftest(spark, response, pred):
     assert found(spark, response)[0] == pred
 
 
@@ -54,9 +54,9 @@ def test_cascade(spark, response, pred, method):
 
 
 def test_value_match_needs_exactly_one_hit(spark):
-    assert found(spark, "FINAL ANSWER: 18", texts=("18", "18", "x", "y", "z")) == (None, None)
-    assert found(spark, "FINAL ANSWER: 1234567", texts=("1234568", "2", "3", "4", "5")) == ("A", "value_match")
-    assert found(spark, "FINAL ANSWER: 18d", texts=("18", "2", "3", "4", "5")) == (None, None)
+    assert found(spark, "FINAL ANSWER: 7.5", texts=("x", "7.5", "7.50", "y", "z")) == (None, None)
+    assert found(spark, "FINAL ANSWER: 40000007", texts=("2", "40000009", "3", "4", "5")) == ("B", "value_match")
+    assert found(spark, "FINAL ANSWER: 60kg", texts=("60", "2", "3", "4", "5")) == (None, None)
 
 
 def test_numeric_labels_and_short_texts(spark):

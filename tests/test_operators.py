@@ -145,3 +145,24 @@ def test_latent_vectors_are_those_of_the_svd(spark):
     want = u[:, :4] * s[:4]
     assert np.abs(y @ y.T - want @ want.T).max() < 1e-4
     assert cluster.latent(df.where("id = 'none'"), "id", F.col("question")).count() == 0
+
+
+def test_numbers_follow_the_order_over_all_parts(spark):
+    from sparrowmill.operators import sampling
+
+    rows = [(f"k{n * 7919 % 1000:04}", "a" if n % 3 else None) for n in range(1000)]
+    got = sampling.numbered(spark.createDataFrame(rows, "id string, g string"), ["g"], [F.col("id")]).collect()
+    for group in ("a", None):
+        mine = sorted((r["_rank"], r["id"]) for r in got if r["g"] == group)
+        assert [r for r, _ in mine] == list(range(1, len(mine) + 1)) and [i for _, i in mine] == sorted(i for _, i in mine)
+    assert sampling.numbered(spark.createDataFrame([], "id string, g string"), ["g"], [F.col("id")]).count() == 0
+
+
+def test_bootstrap_interval(spark):
+    from sparrowmill.operators import metrics
+
+    rows = [("d", "m", k < 300) for k in range(400)] + [("d", "none", None), (None, "m", True)]
+    got = {r["model"]: r for r in metrics.accuracy_bootstrap(spark.createDataFrame(rows, "dataset string, model string, correct boolean")).collect()}
+    assert set(got) == {"m", "none"} and got["none"]["low"] is None
+    half = 1.96 * (0.75 * 0.25 / 400) ** 0.5
+    assert got["m"]["accuracy"] == 0.75 and abs(got["m"]["low"] - 0.75 + half) < 0.01 and abs(got["m"]["high"] - 0.75 - half) < 0.01

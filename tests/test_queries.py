@@ -53,10 +53,10 @@ def test_the_whole_work_is_listed(spark, oracle, tmp_path):
     }
     for name, rows in tables.items():
         pq.write_table(rows, tmp_path / f"{name}.parquet")
-    todo, cost = (QUERIES[q](spark, str(tmp_path)) for q in ("resume_todo_full", "plan_cost_full"))
+    todo, cost = (QUERIES[q](spark, str(tmp_path)) for q in ("resume_todo", "plan_cost"))
     assert todo.count() == 2 * n - done and cost.first()["calls"] == 2 * n
-    oracle(todo, SQL["resume_todo_full"], str(tmp_path))
-    oracle(cost, SQL["plan_cost_full"], str(tmp_path))
+    oracle(todo, SQL["resume_todo"], str(tmp_path))
+    oracle(cost, SQL["plan_cost"], str(tmp_path))
 
 
 def test_the_limit_counts_finished_rows(spark):

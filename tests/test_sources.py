@@ -84,3 +84,56 @@ def test_stream_answers_each_question_once(spark, tmp_path):
     spark.read.parquet(source).write.mode("append").parquet(source)
     answer_stream(spark, spark.readStream.schema(some.schema).parquet(source), models, out, str(tmp_path / "state")).awaitTermination()
     assert files.read_records(spark, out).count() == 20
+
+
+def test_a_broken_run_goes_on_from_its_last_chunk(spark, tmp_path):
+    models = spark.read.parquet(f"{SMALL}/model_registry.parquet").limit(2)
+    asked = canonical(spark.read.parquet(f"{SMALL}/questions.parquet")).where("split = 'test'")
+    root, calls = str(tmp_path / "out"), []
+    work = runner.work_list(asked, models)
+
+    def commit(rows, *key):
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        files.append_run(rows, root, *key)
+        calls.append(key)
+
+    try:
+        runner.run(work, runner.mock, commit, True, chunk=5, say=lambda line: None)
+        raise AssertionError("the run was not broken off")
+    except RuntimeError:
+        pass
+    kept = files.read_records(spark, root).count()
+    assert 0 < kept < work.count()
+    left = runner.todo(work, files.read_records(spark, root))
+    lines = []
+    assert runner.run(left, runner.mock, lambda rows, *key: files.append_run(rows, root, *key), True, chunk=1000, say=lines.append) == work.count() - kept
+    back = files.read_records(spark, root)
+    assert back.count() == back.select("model", "id").distinct().count() == work.count() and lines
+    model, dataset, split = calls[0]
+    assert (tmp_path / "out" / files.record_file(model, dataset, split)).exists()
+
+
+def test_an_interrupt_ends_a_run_behind_a_chunk(spark, tmp_path):
+    asked = canonical(spark.read.parquet(f"{SMALL}/questions.parquet")).where("split = 'test'")
+    work, seen = runner.work_list(asked, spark.read.parquet(f"{SMALL}/model_registry.parquet").limit(1)), []
+
+    def commit(rows, *key):
+        if seen:
+            raise KeyboardInterrupt
+        seen.append(rows.count())
+
+    lines = []
+    assert runner.run(work, runner.mock, commit, True, chunk=1000, say=lines.append) == seen[0]
+    assert "interrupted" in lines[-1]
+
+
+def test_fetch_skips_what_is_there(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(3).write.parquet(str(tmp_path / "from" / name / "train.parquet"))
+    sources = {n: str(tmp_path / "from" / n) for n in ("a", "b")}
+    folder = str(tmp_path / "to")
+    assert files.fetch_missing(spark, {"a": sources["a"]}, folder) == ["a"]
+    assert files.fetch_missing(spark, sources, folder) == ["b"]
+    assert files.fetch_missing(spark, sources, folder) == []
+    assert spark.read.parquet(f"{folder}/b/train.parquet").count() == 3
