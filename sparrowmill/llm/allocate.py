@@ -1,8 +1,9 @@
 """A sample whose shares follow given targets.
 
 The targets of a plan form a tree: the plan, its datasets, their
-subjects. The size of the sample is divided among the targets by their shares, none
-getting less than its minimum. What a target cannot supply is passed on to its
+subjects. Quotas go down the tree: the size of the sample is divided in whole rows among the datasets by the
+sums of their shares, none getting less than the minima below it, and a dataset's quota among its
+targets likewise, so that a minimum takes from its siblings first. What a target cannot supply is passed on to its
 siblings (other targets of its dataset) while they have rows left, and only then
 to its cousins (targets of other datasets), each time in proportion to their
 shares. Rows are drawn by their dense rank under a seeded permutation.
@@ -41,22 +42,43 @@ def pour(amount: int, room: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return given
 
 
+def bounded(total: int, weights: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """``total`` apportioned by ``weights``, no part below its ``least``; what that takes is ceded by the parts above theirs."""
+    parts = np.maximum(apportion(total, weights), least)
+    surplus = int(parts.sum() - total)
+    while surplus > 0 and (parts > least).any():
+        less = pour(surplus, parts - least, (parts - least).astype(float))
+        parts, surplus = parts - less, surplus - int(less.sum())
+    return parts
+
+
+def nodes(values: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    return np.array([values[rows].sum() for rows in own])
+
+
+def descend(size: int, shares: np.ndarray, least: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    """The quota of each target: that of the plan is divided among datasets, that of a dataset among its targets."""
+    out = np.zeros(len(shares), int)
+    for part, rows in zip(bounded(size, nodes(shares, own), nodes(least, own)), own):
+        out[rows] = bounded(int(part), shares[rows], least[rows])
+    return out
+
+
 def quotas(size: int, shares: np.ndarray, least: np.ndarray, available: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Rows to draw for each target of a plan; ``parent`` names its dataset."""
     shares = np.maximum(np.nan_to_num(shares.astype(float)), 0.0)
-    wanted = np.maximum(apportion(size, shares), least)
-    surplus = wanted.sum() - size
-    while surplus > 0 and (wanted > least).any():
-        # Minima beyond the shares are taken from the targets that lie above their own.
-        less = pour(int(surplus), wanted - least, (wanted - least).astype(float))
-        wanted, surplus = wanted - less, surplus - less.sum()
+    own = [np.flatnonzero(parent == family) for family in dict.fromkeys(parent)]
+    wanted = descend(size, shares, least, own)
     drawn = np.minimum(wanted, available)
-    for family in dict.fromkeys(parent):
-        own = parent == family
-        unmet = int((wanted - drawn)[own].sum())
-        drawn = drawn + pour(unmet, np.where(own, available - drawn, 0), np.where(own, np.maximum(shares, 1e-9), 0.0))
+    # A target without a share still takes what nobody else can.
+    weights = np.maximum(shares, 1e-9)
+    for rows in own:
+        drawn[rows] += pour(int((wanted - drawn)[rows].sum()), (available - drawn)[rows], weights[rows])
+    # What a dataset lacks goes up to the plan and down again through the other datasets.
     unmet = int(wanted.sum() - drawn.sum())
-    return drawn + pour(unmet, available - drawn, np.maximum(shares, 1e-9))
+    for part, rows in zip(pour(unmet, nodes(available - drawn, own), nodes(weights, own)), own):
+        drawn[rows] += pour(int(part), (available - drawn)[rows], weights[rows])
+    return drawn
 
 
 def plain(name: Column) -> Column:
@@ -109,7 +131,8 @@ def allocation(goal: DataFrame, members: DataFrame, total: DataFrame) -> DataFra
         least, shares = pdf.min_rows.to_numpy(int), pdf.target_share.fillna(0).to_numpy(float)
         out = pdf[["plan_id", "cell", "dataset", "subject", "target_share", "min_rows", "available"]].copy()
         out["size"] = size
-        out["wanted"] = np.maximum(apportion(size, shares), least)
+        own = [np.flatnonzero(pdf.d.fillna("").to_numpy() == family) for family in dict.fromkeys(pdf.d.fillna(""))]
+        out["wanted"] = np.maximum(descend(size, np.maximum(shares, 0.0), np.zeros(len(pdf), int), own), least)
         out["drawn"] = quotas(size, shares, least, room, pdf.d.fillna("").to_numpy())
         return out
 

@@ -155,6 +155,28 @@ def test_quotas_pass_to_siblings_first():
     assert allocate.quotas(10, np.array([0.01, 0.99]), np.array([3, 0]), np.array([50, 50]), np.array(["x", "y"])).tolist() == [3, 7]
 
 
+def test_quotas_go_down_the_tree():
+    parent = np.array(["x", "x", "x", "y", "y"])
+    shares, none, many = np.array([0.1, 0.1, 0.1, 0.35, 0.35]), np.zeros(5, int), np.full(5, 1000)
+    # 5 rows: 1.5 and 3.5 for the datasets make 2 and 3 of them, and only then whole rows of their targets.
+    got = allocate.quotas(5, shares, none, many, parent)
+    assert got[:3].sum() == 2 and got[3:].sum() == 3
+    # A minimum takes from its siblings before it takes from cousins.
+    got = allocate.quotas(100, shares, np.array([20, 0, 0, 0, 0]), many, parent)
+    assert got.tolist() == [20, 5, 5, 35, 35]
+    got = allocate.quotas(100, shares, np.array([40, 0, 0, 0, 0]), many, parent)
+    assert got.tolist() == [40, 0, 0, 30, 30]
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 9))
+        parent, shares = rng.choice(list("abc"), n), rng.random(n) * (rng.random(n) > 0.2)
+        least, room, size = rng.integers(0, 6, n), rng.integers(0, 30, n), int(rng.integers(0, 90))
+        got = allocate.quotas(size, shares, least, room, parent)
+        assert (got >= 0).all() and (got <= room).all() and (got >= np.minimum(least, room)).all()
+        most = max(size, int(least.sum())) if shares.sum() > 0 else int(least.sum())
+        assert got.sum() == min(most, int(room.sum()))
+
+
 def test_sample(spark):
     rows = [(f"a{k}", "D", "S One") for k in range(60)] + [(f"b{k}", "d", "s-two") for k in range(5)] + [(f"c{k}", "e", None) for k in range(35)] + [("a0", "D", "S One"), (None, "d", "s one")]
     records = spark.createDataFrame(rows, "id string, dataset string, subject string").withColumn("cell", F.lit(1))
