@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, digest, word_sequence
+from .common import cut, digest, spread_join, word_sequence
 
 
 def _directed(links: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def related(records: DataFrame, id_col: str, entities: list[Column]) -> DataFram
     found = components(between.unionByName(tied))
     first = rows.select("id", F.coalesce(F.get("e", F.lit(0)), own).alias("node"))
     return (
-        first.join(found, "node", "left")
+        spread_join(first, found, "node", "id", "left")
         .select("id", F.coalesce("component", "node").alias("component"))
         .groupBy("id")
         .agg(F.min("component").alias("component"))
@@ -93,7 +93,7 @@ def stars(members: DataFrame) -> DataFrame:
     """``id_first, id_other``: the least id of each component with every other one."""
     first = members.groupBy("component").agg(F.min("id").alias("id_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
-        members.join(first, "component").where("id <> id_first").select("id_first", F.col("id").alias("id_other"))
+        spread_join(members, first, "component", "id").where("id <> id_first").select("id_first", F.col("id").alias("id_other"))
     )
 
 
@@ -153,7 +153,7 @@ def assign(members: DataFrame, plans: DataFrame, large: float = 0.005) -> DataFr
         .join(F.broadcast(ranges.withColumnRenamed("plan_id", "r")), F.expr("r = plan_id AND point >= lo AND point < hi"))
         .select("plan_id", "component", "piece")
     )
-    return members.join(fixed.unionByName(drawn), "component").select("plan_id", "id", "component", "piece")
+    return spread_join(members, fixed.unionByName(drawn), "component", "id").select("plan_id", "id", "component", "piece")
 
 
 def split_report(assigned: DataFrame, plans: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.stars(_related(spark, sf_dir))
+    return components.stars(components.cut(_related(spark, sf_dir)))
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
