@@ -206,7 +206,7 @@ def same_look(df: DataFrame, id_col: str, text_col: str, block: int = 4096) -> D
 
 
 def looks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, look, links``: every row with a visible text, its form's digest, and how many rows look the same but differ.
+    """``id, look, links``: of every row with a visible text the least id that looks the same, and how many rows look the same but differ.
 
     The bounded form of ``same_look``: copies are counted, not expanded into pairs.
     Rows with the same id and text are one.
@@ -217,7 +217,7 @@ def looks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .select(F.col(id_col).alias("id"), digest(F.col("folded")).alias("look"), digest(F.col(text_col)).alias("raw"))
         .dropDuplicates(["id", "raw"])
     )
-    texts = keyed.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("k"))
-    forms = texts.groupBy("look").agg(F.sum("k").alias("all"))
-    sizes = spread_join(texts, forms, "look", "raw").select("raw", (F.col("all") - F.col("k")).alias("links"))
-    return spread_join(keyed, sizes, "raw", "id").select("id", "look", "links")
+    texts = keyed.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
+    forms = texts.groupBy("look").agg(F.sum("k").alias("all"), F.min("least").alias("first"))
+    sizes = spread_join(texts.drop("least"), forms, "look", "raw").select("raw", "first", (F.col("all") - F.col("k")).alias("links"))
+    return spread_join(keyed.drop("look"), sizes, "raw", "id").select("id", F.col("first").alias("look"), "links")

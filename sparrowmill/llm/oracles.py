@@ -22,6 +22,12 @@ SELECT id_a, id_b FROM p JOIN q a ON a.id = id_a JOIN q b ON b.id = id_b
 WHERE (a.split = 'train' AND b.split IN ('validation', 'test')) OR (b.split = 'train' AND a.split IN ('validation', 'test'))
 """
 
+P6_GROUPS = f"""
+, x AS ({P6}), e AS (SELECT id_a AS id FROM x UNION ALL SELECT id_b FROM x), l AS (SELECT id, count(*) AS links FROM e GROUP BY id),
+s AS (SELECT id, array_to_string({_words('question')}, ' ') AS t FROM q WHERE split IN ('train', 'validation', 'test'))
+SELECT s.id, min(s.id) OVER (PARTITION BY t) AS cls, coalesce(links, 0) AS links FROM s LEFT JOIN l ON l.id = s.id WHERE t <> ''
+"""
+
 P1_GROUPS = (
     PAIRS.replace("WITH q", "WITH RECURSIVE q", 1)
     + """, e AS (SELECT id_a AS u, id_b AS v FROM p UNION ALL SELECT id_b, id_a FROM p),
@@ -46,4 +52,4 @@ SELECT id_first, id AS id_other FROM g JOIN f USING (g) WHERE id <> id_first
 
 
 def oracles() -> dict:
-    return {"p1_groups": P1_GROUPS, "p1_found": PAIRS + "SELECT id_a, id_b FROM p", "p6_found": PAIRS + P6, "p5_found": P5}
+    return {"p1_groups": P1_GROUPS, "p1_found": PAIRS + "SELECT id_a, id_b FROM p", "p6_found": PAIRS + P6, "p6_groups": PAIRS + P6_GROUPS, "p5_found": P5}

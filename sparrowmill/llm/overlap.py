@@ -215,18 +215,19 @@ def overlaps(
 def partners(
     records: DataFrame, id_col: str, text_col: str, side: Column, threshold: float = 0.7, gram: int = 3, window: int = 3, block: int = 2048
 ) -> DataFrame:
-    """``id, cls, links``: the text class of every record of either side that has a word, and the number of its partners.
+    """``id, cls, links``: of every record of either side that has a word, the least id with its words, and the number of its partners.
 
     The bounded form of ``overlaps``: copies are counted, not expanded into pairs.
     """
     members, texts = texts_of(records, id_col, text_col, side)
     members, texts = cut(members), cut(texts)
     found = text_overlaps(members, texts, threshold, gram, window, block, False, False).select("a", "b")
-    sizes = members.groupBy("cls").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    sizes = members.groupBy("cls").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"), F.min("id").alias("least"))
     ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(sizes.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
     # A partner of a side-0 record is a side-1 record of a class linked to its own, and the other way round.
-    linked = ends.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return spread_join(members, linked, "cls", "id").select("id", "cls", F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")).alias("links"))
+    linked = ends.join(sizes.select(F.col("cls").alias("b"), "n0", "n1"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    linked = linked.join(sizes.select("cls", "least"), "cls")
+    return spread_join(members, linked, "cls", "id").select("id", F.col("least").alias("cls"), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")).alias("links"))
 
 
 def split_name(split: Column) -> Column:

@@ -95,8 +95,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "questions")
-    found = overlap.partners(questions, "id", "question", overlap.split_side(F.col("split")))
-    return found.select("id", F.hex("cls").alias("cls"), "links")
+    return overlap.partners(questions, "id", "question", overlap.split_side(F.col("split")))
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +131,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fold.looks(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.select(F.col("id").alias("doc_id"), F.hex("look").alias("look"), "links")
+    return found.withColumnRenamed("id", "doc_id")
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
