@@ -43,14 +43,20 @@ def latent(
         basis, _ = np.linalg.qr(basis)
         sent = spark.sparkContext.broadcast(basis)
 
-        def product(part: Iterator) -> Iterator[np.ndarray]:
+        def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros_like(sent.value)
-            for r in part:
-                w = np.array(r["w"])
-                total[r["i"]] += np.outer(w, w @ sent.value[r["i"]])
-            yield total
+            for pdf in filter(len, batches):
+                sizes = pdf["i"].str.len().to_numpy()
+                at, w = np.concatenate(pdf["i"].to_list()), np.concatenate(pdf["w"].to_list())[:, None]
+                inner = np.add.reduceat(w * sent.value[at], np.cumsum(sizes) - sizes)
+                outer, order = w * np.repeat(inner, sizes, axis=0), np.argsort(at, kind="stable")
+                terms_met, first = np.unique(at[order], return_index=True)
+                total[terms_met] += np.add.reduceat(outer[order], first)
+            yield pd.DataFrame({"m": [total.tobytes()]})
 
-        image = rows.rdd.mapPartitions(product).treeReduce(np.add)
+        # One matrix a partition, added up in a tree.
+        shape = basis.shape
+        image = rows.select("i", "w").mapInPandas(product, "m binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(shape)).treeReduce(np.add)
         before, basis = basis, image
     # The image is the Gram matrix applied to the last orthonormal basis.
     values, rotation = np.linalg.eigh(before.T @ image)

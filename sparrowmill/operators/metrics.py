@@ -24,6 +24,11 @@ def _round(value: Column | str, digits: int) -> Column:
     return F.bround(F.bround(value, 9), digits)
 
 
+def _quantile(value: str, share: float, accuracy: int | None) -> Column:
+    """Interpolated and exact, which keeps the distinct values of a group in one buffer, or a sketch whose rank is off by 1 in ``accuracy``."""
+    return F.percentile(value, F.lit(share)) if accuracy is None else F.percentile_approx(value, share, accuracy)
+
+
 def _keyed(records: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Rows of which no key is null."""
     return records.dropna(subset=keys)
@@ -40,10 +45,11 @@ def run_metrics(records: DataFrame) -> DataFrame:
     )
 
 
-def run_metrics_full(records: DataFrame) -> DataFrame:
+def run_metrics_full(records: DataFrame, accuracy: int | None = None) -> DataFrame:
     """``run_metrics`` with latency quantiles, generated tokens, their speed, and reasoning words.
 
-    The speed uses ``gen_duration_s`` where the backend reports it, else the wall time.
+    The speed uses ``gen_duration_s`` where the backend reports it, else the wall time. With ``accuracy`` the
+    quantiles come from a sketch of bounded size.
     """
     seconds = F.coalesce("gen_duration_s", "wall_time_s") if "gen_duration_s" in records.columns else F.col("wall_time_s")
     return _keyed(records).groupBy(*KEYS).agg(
@@ -52,8 +58,8 @@ def run_metrics_full(records: DataFrame) -> DataFrame:
         _round(1 - _rate("valid"), 3).alias("invalid"),
         _round(_rate("strict_format"), 3).alias("strict"),
         _round(F.avg("wall_time_s"), 3).alias("mean_latency_s"),
-        _round(F.percentile("wall_time_s", F.lit(0.5)), 3).alias("p50_latency_s"),
-        _round(F.percentile("wall_time_s", F.lit(0.95)), 3).alias("p95_latency_s"),
+        _round(_quantile("wall_time_s", 0.5, accuracy), 3).alias("p50_latency_s"),
+        _round(_quantile("wall_time_s", 0.95, accuracy), 3).alias("p95_latency_s"),
         _round(F.avg("gen_tokens"), 3).alias("mean_gen_tokens"),
         _round(F.avg(F.col("gen_tokens") / F.nullif(seconds, F.lit(0.0))), 3).alias("tokens_per_s"),
         _round(F.avg(word_count(F.col("raw_response"))), 3).alias("reasoning_words"),
@@ -95,12 +101,11 @@ def method_shares(records: DataFrame) -> DataFrame:
     return rows.withColumn("share", _round(F.col("n") / total, 3))
 
 
-def box_stats(records: DataFrame, value: str = "wall_time_s", by: tuple[str, ...] = ("dataset", "model")) -> DataFrame:
-    """Quartiles and whiskers (the most extreme values within 1.5 interquartile ranges) of each group."""
+def box_stats(records: DataFrame, value: str = "wall_time_s", by: tuple[str, ...] = ("dataset", "model"), accuracy: int | None = None) -> DataFrame:
+    """Quartiles and whiskers (the most extreme values within 1.5 interquartile ranges) of each group; ``accuracy`` as in ``run_metrics_full``."""
     keys = list(by)
     rows = _keyed(records, [*keys, value]).select(*keys, F.col(value).alias("v"))
-    q = rows.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, *(F.col("q")[k].alias(f"q{k + 1}") for k in range(3)))
+    q = rows.groupBy(*keys).agg(*(_quantile("v", k / 4, accuracy).alias(f"q{k}") for k in (1, 2, 3)))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     joined = rows.join(q, keys)
     within = joined.where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))

@@ -166,3 +166,12 @@ def test_bootstrap_interval(spark):
     assert set(got) == {"m", "none"} and got["none"]["low"] is None
     half = 1.96 * (0.75 * 0.25 / 400) ** 0.5
     assert got["m"]["accuracy"] == 0.75 and abs(got["m"]["low"] - 0.75 + half) < 0.01 and abs(got["m"]["high"] - 0.75 - half) < 0.01
+
+
+def test_quantiles_by_sketch_are_near_the_exact_ones(spark):
+    rows = [("m", "d", "test", f"q{k}", float(k % 997), True, 5, "a b") for k in range(3000)]
+    kind = "model string, dataset string, split string, id string, wall_time_s double, correct boolean, gen_tokens int, raw_response string"
+    records = spark.createDataFrame(rows, kind).withColumns({"valid": F.lit(True), "strict_format": F.lit(True)})
+    exact, near = (metrics.run_metrics_full(records, a).first() for a in (None, 1000))
+    assert abs(exact["p50_latency_s"] - near["p50_latency_s"]) < 5 and abs(exact["p95_latency_s"] - near["p95_latency_s"]) < 5
+    assert abs(metrics.box_stats(records, accuracy=1000).first()["q1"] - metrics.box_stats(records).first()["q1"]) < 5
