@@ -9,7 +9,7 @@ read once, by built-in expressions:
 * *refusal*: no answer, and an opening that recurs across unrelated prompts but
   hardly ever before an answer. Openings are
   clustered by MinHash: band keys over word bigrams gather them, the members of a
-  band are verified by Jaccard similarity against a leader, those unlike it against the next, and
+  band are verified by Jaccard similarity against a leader, those unlike it against the next, until no candidate is left, and
   responses, answers and distinct prompts are counted per cluster. A cluster is a refusal if its prompts could
   not all have gone unanswered by chance, given the share of answers in the whole table. Openings
   too rare for that are refusals if the text declines in so many words, by a fixed list of phrases.
@@ -25,9 +25,11 @@ The first that holds in this order is the record's defect; runner errors have no
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,11 +224,59 @@ def band_keys(bands: int = 3, width: int = 2) -> Column:
     return F.array(*(F.xxhash64(F.lit(b), *(least(b * width + w) for w in range(width))) for b in range(bands)))
 
 
-def templates(rows: DataFrame, strength: float = 14.0, verified: float = 0.5, leaders: int = 3, answers: float = 0.02) -> DataFrame:
+def stars(banded: DataFrame, verified: float = 0.5) -> DataFrame:
+    """``band, leader, opening, prompts, k, c``: each opening that is like a leader of its band, with the first such leader.
+
+    ``banded`` is ``band, opening, prompts, k, c, grams``. In each band the candidate (``c`` above zero) with the most prompts is the first
+    leader, and the best candidate that no leader is ``verified`` similar to is the next one, until none is left. Candidates
+    come first in a band, so one reading is enough; a task holds the leaders of one band, not its members.
+    """
+    first = [F.col("band"), F.expr("c > 0").desc(), F.desc("prompts"), F.desc("opening")]
+    ordered = banded.select("band", "opening", "prompts", "k", "c", "grams").repartition("band").sortWithinPartitions(*first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, leaders, sets, places = None, [], [], {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands, openings, lead = batch["band"].to_numpy(), batch["opening"].to_numpy(), batch["c"].to_numpy(zero_copy_only=False) > 0
+            grams = batch["grams"].to_pylist()
+            found, leader = [], []
+            for i, own in enumerate(bands.tolist()):
+                if own != band:
+                    band, leaders, sets, places = own, [], [], {}
+                if not leaders and not lead[i]:
+                    continue  # a band without a candidate
+                words, at = frozenset(grams[i]), None
+                # Who is alike has more than the rest of the words, so it has one of these, the rarest among the leaders.
+                need = math.ceil(verified * len(words))
+                rare = sorted(words, key=lambda g: len(places.get(g, ())))[: len(words) - need + 1]
+                for j in sorted({j for g in rare for j in places.get(g, ())}):
+                    both = len(words & sets[j])
+                    if both >= verified * (len(words) + len(sets[j]) - both):
+                        at = j
+                        break
+                if at is None and lead[i]:
+                    at = len(leaders)
+                    leaders.append(openings[i])
+                    sets.append(words)
+                    for g in words:
+                        places.setdefault(g, []).append(at)
+                if at is not None:
+                    found.append(i)
+                    leader.append(leaders[at])
+            if found:
+                kept = batch.select(["band", "opening", "prompts", "k", "c"]).take(pa.array(found))
+                yield kept.append_column("leader", pa.array(leader, pa.int64()))
+
+    return ordered.mapInArrow(run, "band long, opening long, prompts long, k long, c int, leader long")
+
+
+def templates(rows: DataFrame, strength: float = 14.0, verified: float = 0.5, answers: float = 0.02) -> DataFrame:
     """``opening`` of each recurring template that comes without answers.
 
     ``rows`` are ``id, answered, candidate, opening, grams``, null openings left out. In each band of
-    openings the one with the most prompts is the leader, of those that no leader is ``verified`` similar to the next one, ``leaders`` times.
+    openings the one with the most prompts is the leader, of those that no leader is ``verified`` similar to the next one, until none is left.
     A leader and what is similar to it are a cluster. It is a template if its distinct prompts speak for a share of
     ``answers``, and not for that of the whole table, by a log likelihood ratio of ``strength``: one prompt asked
     many times counts once, and the fewer answers there are in the table the more prompts it takes.
@@ -243,21 +293,11 @@ def templates(rows: DataFrame, strength: float = 14.0, verified: float = 0.5, le
     ratio = F.col("prompts") * gain + F.col("k") * min(loss, 0.0)
     each = per.groupBy("opening").agg(F.count(F.lit(1)).alias("prompts"), F.sum("k").alias("k"), F.max("c").alias("c"), F.first("grams").alias("grams"))
     each = cut(each.withColumn("bands", band_keys()))
-    rest = each.select("opening", "prompts", "k", "c", "grams", F.explode("bands").alias("band"))
-    stars = None
-    for _ in range(leaders):
-        leader = rest.where("c > 0").groupBy("band").agg(F.max_by(F.struct("opening", "grams"), F.struct("prompts", "opening")).alias("l"))
-        alike = F.size(F.array_intersect("grams", "l.grams")) >= verified * F.size(F.array_union("grams", "l.grams"))
-        # Bands without a candidate end here, and bigrams are kept only where a further leader may need them.
-        met = spread_join(rest, leader, "band", "opening").select(*rest.columns, F.col("l.opening").alias("leader"), alike.alias("alike"))
-        met = cut(met.withColumn("grams", F.when(~F.col("alike"), F.col("grams"))))
-        star = met.where("alike").select("band", "leader", "opening", "prompts", "k", "c")
-        stars = star if stars is None else stars.unionByName(star)
-        rest = met.where("NOT alike").select(*rest.columns)
+    met = cut(stars(each.select("opening", "prompts", "k", "c", "grams", F.explode("bands").alias("band")), verified))
     names = ["band", "leader"]
     # The prompts of all openings together are at least the distinct ones, so few clusters are counted exactly.
-    likely = stars.groupBy(*names).agg(F.sum("prompts").alias("prompts"), F.sum("k").alias("k")).where(ratio >= strength).select(*names)
-    members = cut(stars.join(likely, names))
+    likely = met.groupBy(*names).agg(F.sum("prompts").alias("prompts"), F.sum("k").alias("k")).where(ratio >= strength).select(*names)
+    members = cut(met.join(likely, names))
     prompts = spread_join(per.select("opening", "id", "k"), members.select(*names, "opening"), "opening", "id").groupBy(*names, "id").agg(F.sum("k").alias("k"))
     sure = prompts.groupBy(*names).agg(F.count(F.lit(1)).alias("prompts"), F.sum("k").alias("k")).where(ratio >= strength)
     return members.where("c > 0").join(sure.select(*names), names).select("opening").distinct()

@@ -84,6 +84,29 @@ def test_templates_count_prompts_not_rows(spark):
     assert {got[k] for k in [*range(10, 41), *range(100, 500)]} == {(None, None)}
 
 
+def test_a_band_has_as_many_leaders_as_it_takes(spark):
+    # Eight clusters in one band: each has 5 bigrams of its own beside those all share.
+    rows = [(band, 100 * n + m, 50 - n, 0, int(m < 2), [1, 2, *range(10 * n + 10, 10 * n + 14), 1000 + 100 * n + m]) for band in (1, 2) for n in range(8) for m in range(4)]
+    rows += [(1, 9000, 99, 0, 0, [1, 2, 10, 11, 12, 13, 5]), (1, 9001, 99, 0, 0, [7, 8]), (3, 9002, 99, 0, 0, [1, 2])]
+    df = spark.createDataFrame(rows, "band long, opening long, prompts long, k long, c int, grams array<long>")
+    got = {(r["band"], r["opening"]): r["leader"] for r in defects.stars(df).collect()}
+    assert got == {(b, 100 * n + m): 100 * n + 1 for b in (1, 2) for n in range(8) for m in range(4)} | {(1, 9000): 1}
+
+
+def test_all_templates_of_a_band_are_found(spark):
+    # The openings share the bigrams with the least hashes, so they meet in a band; there are seven clusters and no phrase that declines.
+    heads = ["alder", "birch", "cedar", "dogwood", "elm", "fir", "gum"]
+    grams = lambda n: sorted([1, 2, *range(100 * n + 100, 100 * n + 103)])
+    rows = [(f"q{k}", False, True, n, grams(n)) for n in range(len(heads)) for k in range(30 + n)]
+    rows += [(f"q{k}", True, False, 1000 + k, [10_000 + k]) for k in range(400)]
+    df = spark.createDataFrame(rows, "id string, answered boolean, candidate boolean, opening long, grams array<long>")
+    keep, defects.band_keys = defects.band_keys, lambda: F.array(F.lit(1).cast("long"))
+    try:
+        assert {r["opening"] for r in defects.templates(df).collect()} == set(range(len(heads)))
+    finally:
+        defects.band_keys = keep
+
+
 def test_long_and_late_refusals(spark, tables):
     texts = [STEP + " " + "The zinc stays where it is. " * 30 + "I'm sorry, but I can't help with this question.", "I cannot provide an answer here. " + "It is a matter of zinc and coral. " * 12]
     assert len(texts[0]) > 400 and len(texts[1].split()) > 61
