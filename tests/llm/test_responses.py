@@ -265,6 +265,22 @@ def test_pass_in_parts_is_the_whole_pass(width):
     assert np.allclose([*more, *end], gains, atol=1e-3)
 
 
+def test_what_others_can_have_falls_with_the_pass():
+    x = np.random.default_rng(9).standard_normal((4000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, _, inverse = diverse.proceed(x[:400], 400, np.eye(8))
+    rest = x[400:]
+    value = diverse.quadratic(rest, inverse)
+    pool = np.sort(np.argsort(-value)[:1800])
+    floor = np.delete(value, pool).max()
+    whole, _, _ = diverse.proceed(rest, 900, inverse)
+    part, gains, after = diverse.proceed(rest[pool], 900, inverse, floor)
+    # The part goes on below the old floor, and as far as it goes it is the whole pass.
+    assert gains[-1] < np.log1p(diverse.STRENGTH * floor)
+    assert pool[part].tolist() == whole[: len(part)].tolist()
+    assert (diverse.quadratic(x, after) <= diverse.decay(inverse, after) * diverse.quadratic(x, inverse)).all()
+
+
 def test_subset_is_one_pass_over_all_core_sets(spark):
     rng = np.random.default_rng(7)
     texts = [" ".join(f"t{k % 12}w{i}" for i in range(7)) + f" n{k} m{rng.integers(40)}" for k in range(400)]
