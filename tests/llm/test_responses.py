@@ -107,6 +107,23 @@ def test_all_templates_of_a_band_are_found(spark):
         defects.band_keys = keep
 
 
+def test_refusals_behind_three_leaders_are_not_truncated(spark):
+    # They end behind a digit and a point, and at the length at which texts are cut, so that the length would decide.
+    tails = ["alder birch", "cedar dogwood", "elm fir", "gum hazel", "ironwood juniper"]
+    texts = ["Kindly note the office " + t + f" desk {k}." for k, t in enumerate(tails)]
+    kind = "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string"
+    rows = [(100 * n + k, f"q{k}", "m", "r", 90, t) for n, t in enumerate(texts) for k in range(40)]
+    rows += [(1000 + k, f"q{k}", "m", "r", 20 + k % 60, STEP + "\nFINAL ANSWER: B") for k in range(600)]
+    rows += [(2000 + k, f"q{k}", "m", "r", 90, STEP + " Next, compare Peris with the gard") for k in range(150)]
+    questions = spark.createDataFrame([], "id string, question string, choices struct<label: array<string>, text: array<string>>")
+    keep, defects.band_keys = defects.band_keys, lambda: F.array(F.lit(1).cast("long"))
+    try:
+        got = defects.settled(defects.cut(defects.classify(spark.createDataFrame(rows, kind), questions)))
+        assert {r["rec_id"] for r in defects.truncated(got).collect()} == set(range(2000, 2150))
+    finally:
+        defects.band_keys = keep
+
+
 def test_long_and_late_refusals(spark, tables):
     texts = [STEP + " " + "The zinc stays where it is. " * 30 + "I'm sorry, but I can't help with this question.", "I cannot provide an answer here. " + "It is a matter of zinc and coral. " * 12]
     assert len(texts[0]) > 400 and len(texts[1].split()) > 61
