@@ -81,7 +81,7 @@ def greedy(x: np.ndarray, size: int, strength: float = STRENGTH) -> tuple[np.nda
 
 def quadratic(x: np.ndarray, inverse: np.ndarray, step: int = 4096) -> np.ndarray:
     """``x' inverse x`` of each row; the gain of a row is ``log(1 + strength * x' inverse x)``."""
-    parts = (x[at : at + step].astype(float) for at in range(0, len(x), step))
+    parts = (x[at : at + step].astype(float, copy=False) for at in range(0, len(x), step))
     return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", y @ inverse, y) for y in parts)])
 
 
@@ -104,6 +104,8 @@ def proceed(
     """
     inverse, left, order, gains = inverse.copy(), np.ones(len(x), bool), [], []
     size = min(size, len(x))
+    # Half precision is slow to read again and again.
+    x = x.astype(float if len(x) <= 1 << 14 else np.float32)
 
     def few(rows: np.ndarray, floor: float) -> None:
         """Chooses at least one of ``rows``, and more while they are above ``floor``."""
