@@ -8,8 +8,8 @@ read once, by built-in expressions:
   options, ending as the question or its options do.
 * *refusal*: no answer, and an opening that recurs across unrelated prompts but
   hardly ever before an answer. Openings are
-  clustered by MinHash: band keys over word bigrams gather them, the members of a
-  band are verified by Jaccard similarity against a leader, those unlike it against the next, until no candidate is left, and
+  clustered by MinHash: band keys over word bigrams gather them, each candidate of a
+  band leads a cluster of all that Jaccard similarity verifies to be like it, and
   responses, answers and distinct prompts are counted per cluster. A cluster is a refusal if its prompts could
   not all have gone unanswered by chance, given the share of answers in the whole table. Openings
   too rare for that are refusals if the text declines in so many words, by a fixed list of phrases.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join, word_sequence
+from .common import cut, lists, mixed, spread_join, within, word_sequence
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -225,7 +225,7 @@ def band_keys(bands: int = 3, width: int = 2) -> Column:
 
 
 def stars(banded: DataFrame, verified: float = 0.5) -> DataFrame:
-    """``band, leader, opening, prompts, k, c``: each opening that is like a leader of its band, with the first such leader.
+    """``band, leader, opening, prompts, k, c``: each opening that is like a leader of its band, with each such leader.
 
     ``banded`` is ``band, opening, prompts, k, c, grams``. In each band the candidate (``c`` above zero) with the most prompts is the first
     leader, and the best candidate that no leader is ``verified`` similar to is the next one, until none is left. Candidates
@@ -247,24 +247,22 @@ def stars(banded: DataFrame, verified: float = 0.5) -> DataFrame:
                     band, leaders, sets, places = own, [], [], {}
                 if not leaders and not lead[i]:
                     continue  # a band without a candidate
-                words, at = frozenset(grams[i]), None
+                words, like = frozenset(grams[i]), []
                 # Who is alike has more than the rest of the words, so it has one of these, the rarest among the leaders.
                 need = math.ceil(verified * len(words))
                 rare = sorted(words, key=lambda g: len(places.get(g, ())))[: len(words) - need + 1]
-                for j in sorted({j for g in rare for j in places.get(g, ())}):
+                for j in {j for g in rare for j in places.get(g, ())}:
                     both = len(words & sets[j])
                     if both >= verified * (len(words) + len(sets[j]) - both):
-                        at = j
-                        break
-                if at is None and lead[i]:
-                    at = len(leaders)
+                        like.append(j)
+                if not like and lead[i]:
+                    like = [len(leaders)]
                     leaders.append(openings[i])
                     sets.append(words)
                     for g in words:
-                        places.setdefault(g, []).append(at)
-                if at is not None:
-                    found.append(i)
-                    leader.append(leaders[at])
+                        places.setdefault(g, []).append(like[0])
+                found += [i] * len(like)
+                leader += [leaders[j] for j in like]
             if found:
                 kept = batch.select(["band", "opening", "prompts", "k", "c"]).take(pa.array(found))
                 yield kept.append_column("leader", pa.array(leader, pa.int64()))
@@ -272,14 +270,89 @@ def stars(banded: DataFrame, verified: float = 0.5) -> DataFrame:
     return ordered.mapInArrow(run, "band long, opening long, prompts long, k long, c int, leader long")
 
 
+def around(banded: DataFrame, verified: float = 0.5, pairs: bool = False) -> DataFrame:
+    """The cluster of each row with ``lead`` above zero: all openings of its band that are ``verified`` similar to it.
+
+    ``banded`` is ``band, opening, prompts, k, lead, rest, grams``. The result is ``band, leader, opening, prompts, k``, or
+    without ``pairs`` their sums ``band, leader, prompts, k, rest``. Leads come first in a band, so a task holds the leads of
+    one band and meets all others batch by batch.
+    """
+    names = ["band", "opening", "prompts", "k", "lead", "rest", "grams"]
+    ordered = banded.select(*names).repartition("band").sortWithinPartitions("band", F.desc("lead"))
+
+    def keyed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bands, bigrams made different in each band, and how many a row has."""
+        band = rows["band"].to_numpy()
+        grams, sizes = lists(rows["grams"].combine_chunks())
+        return band, mixed(grams ^ np.repeat(mixed(band.view(np.uint64)), sizes)), sizes
+
+    def alike(rows: pa.Table, leads: pa.Table, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The places of rows and leads that are alike, from about ``most`` common bigrams at a time."""
+        (band, grams, sizes), (own, keys, lengths) = keyed(rows), keyed(leads)
+        order = np.argsort(keys)
+        keys, owner = keys[order], np.repeat(np.arange(len(own)), lengths)[order]
+        low = np.searchsorted(keys, grams)
+        met = np.searchsorted(keys, grams, side="right") - low
+        ends = np.cumsum(sizes)
+        total = np.cumsum(np.add.reduceat(met, ends - sizes))
+        for part in np.split(np.arange(len(band)), np.searchsorted(total, np.arange(most, total[-1], most))):
+            if not len(part):
+                continue
+            at = slice(ends[part[0]] - sizes[part[0]], ends[part[-1]])
+            row = np.repeat(np.repeat(part, sizes[part]), met[at])
+            code, both = np.unique(row * len(own) + owner[np.repeat(low[at], met[at]) + within(met[at])], return_counts=True)
+            x, y = code // len(own), code % len(own)
+            near = (band[x] == own[y]) & (both >= verified * (sizes[x] + lengths[y] - both))
+            yield x[near], y[near]
+
+    def clusters(rows: pa.Table, leads: pa.Table) -> Iterator[pa.RecordBatch]:
+        for x, y in alike(rows, leads) if len(rows) and len(leads) else ():
+            at = y if pairs else np.unique(y)
+            made = {"band": leads["band"].to_numpy()[at], "leader": leads["opening"].to_numpy()[at]}
+            for c in ("opening", "prompts", "k") if pairs else ("prompts", "k", "rest"):
+                values = rows[c].to_numpy()[x]
+                if not pairs:
+                    sums = np.zeros(len(leads), np.int64)
+                    np.add.at(sums, y, values)
+                    values = sums[at]
+                made[c] = values
+            yield pa.RecordBatch.from_pydict(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, None  # rows of a band whose leads may go on, and the leads of a band that goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            band = rows["band"].to_numpy()
+            goes_on = rows["lead"][-1].as_py() > 0
+            end = int(np.searchsorted(band, band[-1])) if goes_on else len(rows)
+            rows, held = rows.slice(0, end), rows.slice(end) if goes_on else None
+            leads = rows.filter(pa.array(rows["lead"].to_numpy() > 0))
+            leads = leads if known is None else pa.concat_tables([known, leads])
+            yield from clusters(rows, leads)
+            known = None if goes_on else leads.filter(pa.array(leads["band"].to_numpy() == band[-1]))
+        if held is not None:
+            yield from clusters(held, held)
+
+    if pairs:
+        return ordered.mapInArrow(run, "band long, leader long, opening long, prompts long, k long")
+    sums = ordered.mapInArrow(run, "band long, leader long, prompts long, k long, rest long").groupBy("band", "leader")
+    return sums.agg(*(F.sum(c).alias(c) for c in ("prompts", "k", "rest")))
+
+
 def templates(rows: DataFrame, strength: float = 14.0, verified: float = 0.5, answers: float = 0.02) -> DataFrame:
     """``opening`` of each recurring template that comes without answers.
 
-    ``rows`` are ``id, answered, candidate, opening, grams``, null openings left out. In each band of
-    openings the one with the most prompts is the leader, of those that no leader is ``verified`` similar to the next one, until none is left.
-    A leader and what is similar to it are a cluster. It is a template if its distinct prompts speak for a share of
+    ``rows`` are ``id, answered, candidate, opening, grams``, null openings left out. Each candidate leads a cluster in each
+    of its bands: all openings of the band that are ``verified`` similar to it. A cluster is a template if its distinct prompts speak for a share of
     ``answers``, and not for that of the whole table, by a log likelihood ratio of ``strength``: one prompt asked
-    many times counts once, and the fewer answers there are in the table the more prompts it takes.
+    many times counts once, and the fewer answers there are in the table the more prompts it takes. The candidates in
+    any such cluster are returned.
+
+    Not every cluster has to be counted. One that falls short with the openings that speak for it alone is none. Of the others those of leaders unlike
+    each other are counted first, and then all that still have a candidate that no template has.
     """
     known = rows.where("opening IS NOT NULL")
     per = cut(
@@ -293,14 +366,37 @@ def templates(rows: DataFrame, strength: float = 14.0, verified: float = 0.5, an
     ratio = F.col("prompts") * gain + F.col("k") * min(loss, 0.0)
     each = per.groupBy("opening").agg(F.count(F.lit(1)).alias("prompts"), F.sum("k").alias("k"), F.max("c").alias("c"), F.first("grams").alias("grams"))
     each = cut(each.withColumn("bands", band_keys()))
-    met = cut(stars(each.select("opening", "prompts", "k", "c", "grams", F.explode("bands").alias("band")), verified))
+    banded = each.select("opening", "prompts", "k", "c", "grams", F.explode("bands").alias("band"))
     names = ["band", "leader"]
-    # The prompts of all openings together are at least the distinct ones, so few clusters are counted exactly.
-    likely = met.groupBy(*names).agg(F.sum("prompts").alias("prompts"), F.sum("k").alias("k")).where(ratio >= strength).select(*names)
-    members = cut(met.join(likely, names))
-    prompts = spread_join(per.select("opening", "id", "k"), members.select(*names, "opening"), "opening", "id").groupBy(*names, "id").agg(F.sum("k").alias("k"))
-    sure = prompts.groupBy(*names).agg(F.count(F.lit(1)).alias("prompts"), F.sum("k").alias("k")).where(ratio >= strength)
-    return members.where("c > 0").join(sure.select(*names), names).select("opening").distinct()
+    none, flag = F.lit(0).alias("rest"), F.lit(1).alias("lead")
+
+    def counted(met: DataFrame) -> DataFrame:
+        """The candidates in the clusters ``met`` that are templates."""
+        # The prompts of all openings together are at least the distinct ones, so few clusters are counted exactly.
+        likely = met.groupBy(*names).agg(F.sum("prompts").alias("prompts"), F.sum("k").alias("k")).where(ratio >= strength).select(*names)
+        members = cut(met.join(likely, names).select(*names, "opening"))
+        prompts = spread_join(per.select("opening", "id", "k"), members, "opening", "id").groupBy(*names, "id").agg(F.sum("k").alias("k"))
+        sure = prompts.groupBy(*names).agg(F.count(F.lit(1)).alias("prompts"), F.sum("k").alias("k")).where(ratio >= strength)
+        found = members.join(sure.select(*names), names).select("opening").distinct()
+        return cut(found.join(each.where("c > 0").select("opening"), "opening", "left_semi"))
+
+    def led(rows: DataFrame, leads: DataFrame) -> DataFrame:
+        return rows.join(leads.select("band", F.col("leader").alias("opening"), flag), ["band", "opening"], "left").withColumn("lead", F.coalesce("lead", F.lit(0)))
+
+    # All other openings lower the ratio.
+    bound = around(banded.where((F.col("c") > 0) | (ratio > 0)).select("*", F.col("c").alias("lead"), none), verified)
+    likely = cut(bound.where(ratio >= strength).select(*names))
+    near = cut(led(banded.join(likely.select("band").distinct(), "band", "left_semi"), likely))
+    met = cut(stars(near.withColumn("c", F.col("lead")), verified))
+    found = counted(met)
+    rest = near.join(found.select("opening", F.lit(0).alias("rest")), "opening", "left").withColumn("rest", F.coalesce("rest", F.col("c")))
+    others = likely.join(met.select(*names).distinct(), names, "left_anti")
+    open_ones = around(led(rest.drop("lead"), others).where("lead > 0 OR rest > 0"), verified)
+    others = cut(open_ones.where("rest > 0").select(*names))
+    if others.isEmpty():
+        return found
+    last = near.drop("lead").join(others.select("band").distinct(), "band", "left_semi")
+    return found.unionByName(counted(cut(around(led(last, others).select("*", none), verified, pairs=True)))).distinct()
 
 
 def classify(responses: DataFrame, *questions: DataFrame) -> DataFrame:

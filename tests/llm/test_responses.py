@@ -124,6 +124,69 @@ def test_refusals_behind_three_leaders_are_not_truncated(spark):
         defects.band_keys = keep
 
 
+def test_an_opening_counts_for_each_leader_it_is_like(spark):
+    rows = [(1, 1, 50, 0, 1, [1, 2, 3, 4, 5, 6]), (1, 2, 40, 0, 1, [3, 4, 5, 6, 7, 8, 9, 10]), (1, 3, 30, 0, 0, [2, 3, 4, 5, 6, 7, 8]), (1, 4, 20, 0, 0, [7, 8, 9, 10])]
+    df = spark.createDataFrame(rows, "band long, opening long, prompts long, k long, c int, grams array<long>")
+    got = sorted((r["leader"], r["opening"]) for r in defects.stars(df).collect())
+    assert got == [(1, 1), (1, 3), (2, 2), (2, 3), (2, 4)]
+
+
+def test_clusters_around_all_leads_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(9)) ** 2 // 9, n, int(rng.integers(1, 9)), int(rng.integers(5)), int(rng.random() < 0.4), int(rng.random() < 0.5)) for n in range(600)]
+    rows = [(*r, sorted({int(g) for g in rng.integers(0, 12, 8)})) for r in rows]
+    df = spark.createDataFrame(rows, "band long, opening long, prompts long, k long, lead int, rest int, grams array<long>")
+    like = lambda a, b: len({*a} & {*b}) >= 0.5 * len({*a} | {*b})
+    pairs = [(x, y) for x in rows for y in rows if x[4] and x[0] == y[0] and like(x[6], y[6])]
+    sums = {}
+    for x, y in pairs:
+        old = sums.get((x[0], x[1]), (0, 0, 0))
+        sums[x[0], x[1]] = (old[0] + y[2], old[1] + y[3], old[2] + y[5])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    keep = spark.conf.get(batch)
+    try:
+        for size in (7, 10_000):
+            spark.conf.set(batch, size)
+            got = [(r["band"], r["leader"], r["opening"], r["prompts"], r["k"]) for r in defects.around(df, pairs=True).collect()]
+            assert sorted(got) == sorted((x[0], x[1], *y[1:4]) for x, y in pairs)
+            assert {(r["band"], r["leader"]): (r["prompts"], r["k"], r["rest"]) for r in defects.around(df).collect()} == sums
+    finally:
+        spark.conf.set(batch, keep)
+
+
+def test_every_candidate_leads_a_cluster(spark):
+    # 1 has the most prompts and is like answered ones, 2 is like 1 alone; 3 is like 4 and 5, which are not like each other or templates by themselves.
+    sets = {1: range(3, 10), 2: range(5, 12), 9: range(1, 8), 3: range(105, 112), 4: range(103, 110), 5: range(107, 114), 8: range(101, 108)}
+    asked = {1: 45, 2: 40, 3: 3, 4: 4, 5: 3}
+    rows = [(f"q{10 * n + k}", False, True, n, list(sets[n])) for n, m in asked.items() for k in range(m)]
+    rows += [(f"q{k}", True, False, n, list(sets[n])) for n in (8, 9) for k in range(300)]
+    # Many openings of one prompt are no template.
+    rows += [("q1", False, True, 50 + k, [201, 202, 203, 204, 300 + k]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, answered boolean, candidate boolean, opening long, grams array<long>")
+    keep, defects.band_keys = defects.band_keys, lambda: F.array(F.lit(1).cast("long"))
+    try:
+        assert {r["opening"] for r in defects.templates(df).collect()} == {1, 2, 3, 4, 5}
+    finally:
+        defects.band_keys = keep
+
+
+def test_refusals_like_an_answered_leader_are_not_truncated(spark):
+    # The leader with the most prompts is like openings with answers, the refusals are like this leader alone.
+    words = "alder birch cedar dogwood elm fir gum hazel ironwood juniper kauri larch".split()
+    text = lambda at, end: " ".join(words[at : at + 8]) + end
+    kind = "rec_id long, id string, model string, run_id string, gen_tokens int, raw_response string"
+    rows = [(k, f"q{k}", "m", "r", 90, text(2, " desk 3.")) for k in range(45)] + [(100 + k, f"q{k}", "m", "r", 90, text(4, " desk 4.")) for k in range(40)]
+    rows += [(1000 + k, f"q{k}", "m", "r", 20 + k % 60, text(0, ".\nFINAL ANSWER: B")) for k in range(600)]
+    rows += [(2000 + k, f"q{k}", "m", "r", 90, STEP + " Next, compare Peris with the gard") for k in range(150)]
+    questions = spark.createDataFrame([], "id string, question string, choices struct<label: array<string>, text: array<string>>")
+    keep, defects.band_keys = defects.band_keys, lambda: F.array(F.lit(1).cast("long"))
+    try:
+        got = defects.settled(defects.cut(defects.classify(spark.createDataFrame(rows, kind), questions)))
+        assert {r["rec_id"] for r in defects.truncated(got).collect()} == set(range(2000, 2150))
+    finally:
+        defects.band_keys = keep
+
+
 def test_long_and_late_refusals(spark, tables):
     texts = [STEP + " " + "The zinc stays where it is. " * 30 + "I'm sorry, but I can't help with this question.", "I cannot provide an answer here. " + "It is a matter of zinc and coral. " * 12]
     assert len(texts[0]) > 400 and len(texts[1].split()) > 61
