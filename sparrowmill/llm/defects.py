@@ -300,8 +300,14 @@ def around(banded: DataFrame, verified: float = 0.5, pairs: bool = False) -> Dat
                 continue
             at = slice(ends[part[0]] - sizes[part[0]], ends[part[-1]])
             row = np.repeat(np.repeat(part, sizes[part]), met[at])
-            code, both = np.unique(row * len(own) + owner[np.repeat(low[at], met[at]) + within(met[at])], return_counts=True)
-            x, y = code // len(own), code % len(own)
+            code = (row - part[0]) * len(own) + owner[np.repeat(low[at], met[at]) + within(met[at])]
+            if len(part) * len(own) <= 8 * len(code):  # most rows meet most leads
+                both = np.bincount(code)
+                code = np.flatnonzero(both)
+                both = both[code]
+            else:
+                code, both = np.unique(code, return_counts=True)
+            x, y = code // len(own) + part[0], code % len(own)
             near = (band[x] == own[y]) & (both >= verified * (sizes[x] + lengths[y] - both))
             yield x[near], y[near]
 
@@ -351,7 +357,7 @@ def templates(rows: DataFrame, strength: float = 14.0, verified: float = 0.5, an
     many times counts once, and the fewer answers there are in the table the more prompts it takes. The candidates in
     any such cluster are returned.
 
-    Not every cluster has to be counted. One that falls short with the openings that speak for it alone is none. Of the others those of leaders unlike
+    Not every cluster has to be counted. One that falls short with the openings that speak for it alone, or by its sums, is none. Of the others those of leaders unlike
     each other are counted first, and then all that still have a candidate that no template has.
     """
     known = rows.where("opening IS NOT NULL")
@@ -387,6 +393,9 @@ def templates(rows: DataFrame, strength: float = 14.0, verified: float = 0.5, an
     bound = around(banded.where((F.col("c") > 0) | (ratio > 0)).select("*", F.col("c").alias("lead"), none), verified)
     likely = cut(bound.where(ratio >= strength).select(*names))
     near = cut(led(banded.join(likely.select("band").distinct(), "band", "left_semi"), likely))
+    # Those that fall short with all their openings end here, without a list of them.
+    likely = cut(around(near.select("*", none), verified).where(ratio >= strength).select(*names))
+    near = cut(led(near.drop("lead").join(likely.select("band").distinct(), "band", "left_semi"), likely))
     met = cut(stars(near.withColumn("c", F.col("lead")), verified))
     found = counted(met)
     rest = near.join(found.select("opening", F.lit(0).alias("rest")), "opening", "left").withColumn("rest", F.coalesce("rest", F.col("c")))
